@@ -11,10 +11,11 @@ from peneira.operators.index import analyzed, document_frequency, postings
 
 
 def new_documents(stream: DataFrame, hash_column: str, event_time: str | None = None, horizon: str | None = None) -> DataFrame:
-    """The stream's rows whose content hash has not come before.
+    """The stream's rows whose content hash has not come before; rows without hash are left out.
 
     Without a horizon the state keeps every hash, as the original does; with one, hashes are forgotten so long after their event time.
     """
+    stream = stream.where(F.col(hash_column).isNotNull())
     if event_time and horizon:
         return stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([hash_column])
     return stream.dropDuplicates([hash_column])

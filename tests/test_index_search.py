@@ -73,7 +73,7 @@ def run(spark, *queries, size=160, **options):
 def test_score_by_hand(spark):
     r = run(spark, "flamengo")[0]
     idf = math.log(1 + (3 - 1 + 0.5) / 1.5)
-    average = (6 + 3 + 500) / 3
+    average = (6 + 4 + 500) / 3
     n = 6
     base = idf * (2 * 2.5) / (2 + 1.5 * (0.25 + 0.75 * n / average))
     # title and address name the word: coverage, the whole query in the title, host, team word in the title, team factor.
