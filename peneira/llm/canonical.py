@@ -13,9 +13,10 @@ by a join salted against names that a large share of rows bears.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +32,8 @@ from peneira.session import durable
 THRESHOLD = 0.5
 #: Below this similarity the longest words must be within so many edits, too.
 SURE, EDITS = 0.6, 4
+#: Catalog entries in one broadcast index: some tens of MB.
+ENTRIES_PER_BLOCK = 50_000
 #: Copies of the mapping, over which the rows of one name spread.
 SALTS = 16
 UNMATCHED = "UNMATCHED"
@@ -91,50 +94,120 @@ def catalog_spellings(teams: DataFrame) -> DataFrame:
     return each.select("team_id", F.explode(with_state).alias("spelling")).distinct()
 
 
-def _ordered(rows: DataFrame, keep: list[str], ranks) -> DataFrame:
-    """rows with their tokens in order of global rarity; a token without rank is rarer than all that have one."""
-    schema = T.StructType([*(rows.schema[k] for k in keep), T.StructField("tokens", T.ArrayType(T.StringType()))])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
-        for batch in batches:
-            ordered = [sorted(t, key=lambda x: (rank.get(x, 0), x)) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(ordered, pa.list_(pa.string()))], [*keep, "tokens"])
-
-    return rows.select(*keep, "tokens").mapInArrow(run, schema)
-
-
-def match_names(names: DataFrame, spellings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+class PrefixIndex:
+    """The rare prefixes of a block of catalog entries, ready to be joined to names."""
+
+    def __init__(self, entries: Sequence[tuple[str, str, list[str]]], ranks: Mapping[str, int], threshold: float) -> None:
+        self.ranks, self.threshold = ranks, threshold
+        self.teams = [e[0] for e in entries]
+        self.longest = [longest_word(e[1]) for e in entries]
+        self.sets = [frozenset(e[2]) for e in entries]
+        self.prefixes: dict[str, list[tuple[int, int]]] = {}
+        for k, e in enumerate(entries):
+            for pos, t in enumerate(self.prefix(e[2])):
+                self.prefixes.setdefault(t, []).append((k, pos))
+
+    def prefix(self, found: Sequence[str]) -> list[str]:
+        """The rarest tokens, among which two sets of the least similarity must share one. A token without rank is rarer than all that have one."""
+        ordered = sorted(found, key=lambda t: (self.ranks.get(t, 0), t))
+        return ordered[: len(ordered) - math.ceil(self.threshold * len(ordered) - 1e-9) + 1]
+
+    def matches(self, clean: str, found: Sequence[str]) -> dict[str, float]:
+        """The teams at least as similar as the threshold, each with the similarity of its nearest entry."""
+        n, t, mine = len(found), self.threshold, frozenset(found)
+        longest = longest_word(clean)
+        seen: set[int] = set()
+        best: dict[str, float] = {}
+        for pos, token in enumerate(self.prefix(found)):
+            for k, other_pos in self.prefixes.get(token, ()):
+                if k in seen:
+                    continue
+                seen.add(k)  # the first shared token decides the positional bound
+                m = len(self.sets[k])
+                if m < t * n or m > n / t:
+                    continue
+                need = math.ceil(t / (1 + t) * (n + m) - 1e-9)
+                if min(n - pos, m - other_pos) < need:
+                    continue
+                shared = len(mine & self.sets[k])
+                j = shared / (n + m - shared)
+                if j < t or j <= best.get(self.teams[k], 0.0):
+                    continue
+                if j >= SURE or within(longest, self.longest[k], EDITS):
+                    best[self.teams[k]] = j
+        return best
+
+
+def longest_word(clean: str) -> str:
+    return max(clean.split(), key=len, default="")
+
+
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether two words are at most so many insertions, deletions and substitutions apart."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for k, y in enumerate(b, 1):
+            last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y))
+        if min(row) > edits:
+            return False
+    return row[-1] <= edits
+
+
+def match_names(names: DataFrame, spellings: DataFrame, threshold: float = THRESHOLD, per_block: int = ENTRIES_PER_BLOCK) -> DataFrame:
     """(name, id, similarity) of every distinct name; id is UNMATCHED where no entry reaches the threshold, or two entries are equally near.
 
-    names: column name, distinct and not null. spellings: team_id, spelling.
+    names: column name, distinct and not null. spellings: team_id, spelling. The join runs where the names are, against the prefix index of the
+    catalog, which travels by broadcast; entries beyond the bound make further blocks, each joined to all names.
     """
     spark = names.sparkSession
-    left = durable(names.select("name", _form("name").alias("f")).select("name", "f.clean", "f.tokens"))
-    right = durable(spellings.select("team_id", _form("spelling").alias("f")).select("team_id", "f.clean", "f.tokens").distinct())
+    # Matching costs far more than a name's bytes tell, so the partitions are not left to their size.
+    spread = names.select("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    left = durable(spread.select("name", _form("name").alias("f")).select("name", "f.clean", "f.tokens"))
+    right = spellings.select("team_id", _form("spelling").alias("f")).select("team_id", "f.clean", "f.tokens").where(F.size("tokens") > 0).distinct()
+    right = durable(right)
     # Letters and pairs of letters with their occurrence: as many as alphabet and name lengths allow, whatever the rows.
     counts = left.select("tokens").unionByName(right.select("tokens")).select(F.explode("tokens").alias("t")).groupBy("t").count()
-    ranks = spark.sparkContext.broadcast({r["t"]: r["count"] for r in counts.toLocalIterator()})
-    size = F.size("tokens")
-    prefix = size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1
-    side = lambda df, keep: df.select(*keep, F.col("tokens").alias("set"), size.alias("n"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "t"))
-    x = side(_ordered(left.where(size > 0), ["name", "clean"], ranks), ["name", "clean"])
-    y = side(_ordered(right.where(size > 0), ["team_id", "clean"], ranks), ["team_id", "clean"]).select("team_id", "t", *(F.col(c).alias(f"y_{c}") for c in ("clean", "set", "n", "pos")))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("y_n")) - 1e-9)
-    can = F.least(F.col("n") - F.col("pos"), F.col("y_n") - F.col("y_pos"))
-    pairs = x.join(y, "t").where((F.col("n") * threshold <= F.col("y_n")) & (F.col("y_n") * threshold <= F.col("n")) & (can >= need))
-    shared = F.size(F.array_intersect("set", "y_set"))
-    jaccard = shared / (F.col("n") + F.col("y_n") - shared)
-    longest = lambda c: F.array_sort(F.split(c, " "), lambda a, b: F.length(b) - F.length(a))[0]
-    near = F.levenshtein(longest(F.col("clean")), longest(F.col("y_clean"))) <= EDITS
-    scored = pairs.select("name", "team_id", jaccard.alias("j"), near.alias("near")).where((F.col("j") >= threshold) & ((F.col("j") >= SURE) | F.col("near")))
-    by_team = scored.groupBy("name", "team_id").agg(F.max("j").alias("j"))
-    best = by_team.groupBy("name").agg(F.max(F.struct("j", "team_id")).alias("top"), F.max(F.struct("j", F.lit(0))).alias("s"), F.collect_list("j").alias("all"))
-    alone = F.size(F.filter("all", lambda v: v == F.col("top.j"))) == 1
-    best = best.select("name", F.when(alone, F.col("top.team_id")).alias("id"), F.col("top.j").alias("similarity"))
+    ranks = {r["t"]: r["count"] for r in counts.toLocalIterator()}
+    found = None
+    for block in _blocks(right, per_block):
+        shared = spark.sparkContext.broadcast((block, ranks, threshold))
+
+        def join(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = PrefixIndex(*shared.value)
+            for batch in batches:
+                at, ids, similarity = [], [], []
+                for i, (clean, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    for team, j in index.matches(clean, t).items():
+                        at.append(i)
+                        ids.append(team)
+                        similarity.append(j)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.string()), pa.array(similarity, pa.float64())], ["name", "team_id", "j"])
+
+        part = left.where(F.size("tokens") > 0).mapInArrow(join, "name string, team_id string, j double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return left.select("name", F.lit(UNMATCHED).alias("id"), F.lit(None).cast("double").alias("similarity"))
+    nearest = found.groupBy("name", "team_id").agg(F.max("j").alias("j")).groupBy("name").agg(F.max("j").alias("j"), F.collect_list(F.struct("j", "team_id")).alias("all"))
+    top = F.filter("all", lambda x: x["j"] == F.col("j"))
+    best = nearest.select("name", F.when(F.size(top) == 1, top[0]["team_id"]).alias("id"), F.col("j").alias("similarity"))
     return left.select("name").join(best, "name", "left").select("name", F.coalesce("id", F.lit(UNMATCHED)).alias("id"), "similarity")
 
 
+def _blocks(right: DataFrame, per_block: int) -> Iterator[list[tuple[str, str, list[str]]]]:
+    """The catalog's entries in blocks of bounded number."""
+    block = []
+    for r in right.toLocalIterator():
+        block.append((r["team_id"], r["clean"], list(r["tokens"])))
+        if len(block) == per_block:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def typed_names(matches: DataFrame, raw: DataFrame) -> DataFrame:
     """(name_field, record_id, event_no, name) of the club names typed in both tables, null and blank ones left out."""
     sides = F.explode(F.array(*(F.struct(F.lit(c).alias("name_field"), F.col(c).alias("name")) for c in ("home_team", "away_team")))).alias("e")

@@ -3,7 +3,7 @@
 A word is repeated if it lies in a run of `run` words that already occurred, starting
 earlier, in the same document. Divergence of histograms, the method named for this
 problem, tells that a text is unusual, but not which share of it repeats earlier text; so
-the share is measured exactly here, and `divergence.py` has the histograms beside it.
+the share is measured exactly here.
 
 A document is counted where it is read: no shuffle, and no document is spread over rows.
 Whole batches are coded as integers at once; runs are coded by pairs, so that equal codes
