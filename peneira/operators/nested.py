@@ -47,7 +47,7 @@ def parse(text: str | None):
     if text is None:
         raise ValueError("no text")
     try:
-        return _DECODER.decode(text.lstrip("﻿"))
+        return _DECODER.decode(text)
     except RecursionError:
         raise ValueError("nested beyond what can be read") from None
 

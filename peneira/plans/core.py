@@ -541,7 +541,12 @@ def schedule_matches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("raw_id", "event_no", "home_team", "away_team", "home_logo", "start_date", "start_hour", "competition", F.array_join("broadcasters", "|").alias("broadcasters"), "venue", "city", "state", "phase", "source_url", "kickoff_ms")
 
 
-_ISO_MS = "epoch_ms(try_strptime(kickoff_iso, '%Y-%m-%dT%H:%M:%SZ'))"
+_ISO_MS = "epoch_ms(try_strptime(kickoff_iso, ['%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%dT%H:%M:%S.%gZ']))"
+
+
+def _iso_millis(c):  # noqa: ANN001, ANN202
+    forms = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.unix_millis(F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in forms)))
 
 
 @query(f"""with m as (select home_team, {_ISO_MS} as kickoff_ms from match_records where home_team is not null),
@@ -549,7 +554,7 @@ r as (select *, row_number() over (partition by home_team order by kickoff_ms) a
 select home_team, cast(place as int) as place, kickoff_ms from r where place <= 3""")
 def upcoming_matches(spark: SparkSession, d: str) -> DataFrame:
     """M1, P10: each home team's next three kickoffs within two weeks."""
-    ms = F.unix_millis(F.try_to_timestamp("kickoff_iso", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    ms = _iso_millis(F.col("kickoff_iso"))
     rows = table(spark, d, "match_records").where("home_team is not null").select("record_id", "home_team", ms.alias("kickoff_ms"))
     return schedule.upcoming(rows, "home_team", "kickoff_ms", NOW_MS).select("home_team", "place", "kickoff_ms")
 
@@ -559,7 +564,7 @@ select record_id, case when ms is null then 'Data a definir' else strftime(timez
 case when ms is null then 'Horario a definir' else strftime(timezone('America/Sao_Paulo', to_timestamp(ms / 1000)), '%H:%M') end as match_time from m""")
 def kickoff_display(spark: SparkSession, d: str) -> DataFrame:
     """Kickoffs as they are shown."""
-    ms = F.unix_millis(F.try_to_timestamp("kickoff_iso", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    ms = _iso_millis(F.col("kickoff_iso"))
     day, hour, _ = schedule.displayed(ms, CONFIG.time_zone)
     return table(spark, d, "match_records").select("record_id", day.alias("match_date"), hour.alias("match_time"))
 
@@ -623,4 +628,24 @@ def team_list(spark: SparkSession, d: str) -> DataFrame:
     return schedule.team_list(spark)
 
 
+@query()
+def stream_index_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The index built as a stream against the batch build: by chunk size, postings of both and those in one only (none)."""
+    from uuid import uuid4
+
+    from peneira.session import ensure_checkpoint_dir
+    from peneira.streaming.incremental import index_stream, stream_postings
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", HASH, "fetched_at", "cleaned_text")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet")
+    index_stream(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    key = ["chunk_size", "term", "doc_id", "chunk_id", "term_frequency"]
+    batch = index.postings(_analyzed(spark, d), HASH, CONFIG).select(*key, F.lit(1).alias("b"), F.lit(0).alias("s"))
+    streamed = stream_postings(spark, folder).select(*key, F.lit(0).alias("b"), F.lit(1).alias("s"))
+    each = batch.unionByName(streamed).groupBy(*key).agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
+    return each.groupBy("chunk_size").agg(F.sum("b").alias("batch_rows"), F.sum("s").alias("stream_rows"), F.count_if(F.col("b") != F.col("s")).alias("differing"))
+
+
 QUERIES, ORACLE = Q, O

@@ -27,4 +27,33 @@ def p4_watch_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_watch_sources)}
-ORACLE: dict[str, str] = {}
+
+
+def _held(x: str) -> str:
+    return f"(case when json_type({x}) = 'VARCHAR' and json_valid({x}->>'$') then cast({x}->>'$' as json) else {x} end)"
+
+
+def _listed(x: str) -> str:
+    return f"(case json_type({x}) when 'ARRAY' then from_json({x}, '[\"JSON\"]') when 'OBJECT' then [{x}] else [] end)"
+
+
+_EVENTS = f"""
+with p as (select raw_id, cast(payload as json) as j from raw_schedules where json_valid(payload)),
+s as (select raw_id, {_held("json_extract(j, '$.scheduleTeam')")} as s from p),
+a as (select raw_id, {_held("json_extract(s, '$.teamAgenda')")} as a from s),
+f as (select raw_id, {_held("json_extract(a, '$.future')")} as f from a),
+l as (select raw_id, {_listed('f')} as l from f),
+u as (select raw_id, unnest(l) as e, generate_subscripts(l, 1) - 1 as event_no from l),
+ev as (select raw_id, event_no, {_held('e')} as e from u),
+c as (select raw_id, event_no, {_held("json_extract(e, '$.editorialData')")} as ed, {_held("json_extract(e, '$.match')")} as m from ev where json_type(e) = 'OBJECT'),
+k as (select raw_id, event_no, ed, {_held("json_extract(m, '$.firstContestant')")} as fc, {_held("json_extract(m, '$.liveWatchSources')")} as w from c),
+wl as (select raw_id, event_no, {_listed('w')} as w from k),
+wu as (select raw_id, event_no, unnest(w) as x, generate_subscripts(w, 1) - 1 as child_no from wl)
+"""
+
+ORACLE = {
+    "p4_found": _EVENTS
+    + f"""select raw_id, event_no, 'editorial' as child_kind, 0 as child_no, coalesce(ed->>'$.url', '') as child_label from k where json_type(ed) = 'OBJECT'
+union all select raw_id, event_no, 'first_contestant', 0, coalesce(case json_type(fc) when 'VARCHAR' then fc->>'$' else fc->>'$.popularName' end, '') from k where json_type(fc) in ('OBJECT', 'VARCHAR')
+union all select raw_id, event_no, 'watch_source', child_no, coalesce({_held('x')}->>'$.name', '') from wu where json_type({_held('x')}) = 'OBJECT'""",
+}
