@@ -164,7 +164,7 @@ def match_names(names: DataFrame, spellings: DataFrame, threshold: float = THRES
     """
     spark = names.sparkSession
     # Matching costs far more than a name's bytes tell, so the partitions are not left to their size.
-    spread = names.select("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    spread = names.select("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = durable(spread.select("name", _form("name").alias("f")).select("name", "f.clean", "f.tokens"))
     right = spellings.select("team_id", _form("spelling").alias("f")).select("team_id", "f.clean", "f.tokens").where(F.size("tokens") > 0).distinct()
     right = durable(right)
