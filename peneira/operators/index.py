@@ -124,15 +124,27 @@ def vocabulary_scan(frequencies: DataFrame, patterns: tuple[str, ...], limit: in
     return rows.select("pattern", "place", "e.term", "e.doc_frequency", "more")
 
 
+def _kept(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row: behind a generator they are not written out again in what uses them."""
+    struct = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return rows.select(*keep, F.explode(F.array(struct)).alias("__k")).select(*keep, *(F.col(f"__k.{name}").alias(name) for name in columns))
+
+
 def top_terms(docs: DataFrame, doc_id: str, config: Config = Config()) -> DataFrame:
-    """(doc_id, rank, term, frequency, weight): a document's most frequent tokens, ties by first occurrence, computed on the row itself."""
-    kept = F.col("tokens")
-    distinct = F.array_distinct(kept)
-    entry = lambda t, i: F.struct((-F.size(F.filter(kept, lambda x: x == t))).alias("minus"), i.alias("first"), t.alias("term"))
-    ranked = F.slice(F.array_sort(F.transform(distinct, entry)), 1, config.top_terms)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.size(kept).alias("n"), F.posexplode(ranked).alias("rank", "e"))
+    """(doc_id, rank, term, frequency, weight): a document's most frequent tokens, ties by first occurrence.
+
+    Counted on the row itself, without a shuffle: sorted tokens, the starts of their runs, and the distances between these.
+    """
+    tokens = F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    rows = docs.where(F.size("tokens") > 0).select(F.col(doc_id).alias("doc_id"), F.size("tokens").alias("n"), "tokens")
+    rows = _kept(rows, ["doc_id", "n"], sorted=F.array_sort(tokens))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.get("sorted", i)["t"] != F.get("sorted", i - 1)["t"], F.lit(True)))
+    rows = _kept(rows, ["doc_id", "n", "sorted"], starts=starts)
+    entry = lambda s, k: F.struct((s - F.coalesce(F.get("starts", k + 1), F.col("n"))).alias("minus"), F.get("sorted", s)["i"].alias("first"), F.get("sorted", s)["t"].alias("term"))
+    ranked = F.slice(F.array_sort(F.transform("starts", entry)), 1, config.top_terms)
+    out = rows.select("doc_id", "n", F.posexplode(ranked).alias("rank", "e"))
     frequency = (-F.col("e.minus")).cast("bigint")
-    return rows.select("doc_id", (F.col("rank") + 1).alias("rank"), "e.term", frequency.alias("frequency"), F.round(frequency / F.col("n"), 6).alias("weight"))
+    return out.select("doc_id", (F.col("rank") + 1).alias("rank"), "e.term", frequency.alias("frequency"), F.round(frequency / F.col("n"), 6).alias("weight"))
 
 
 def stem_frequencies(docs: DataFrame, doc_id: str) -> DataFrame:

@@ -639,7 +639,7 @@ def stream_index_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", HASH, "fetched_at", "cleaned_text")
-    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]")  # a pattern, as the table may be one file or a folder
     index_stream(stream, folder, f"{folder}/checkpoint").awaitTermination()
     key = ["chunk_size", "term", "doc_id", "chunk_id", "term_frequency"]
     batch = index.postings(_analyzed(spark, d), HASH, CONFIG).select(*key, F.lit(1).alias("b"), F.lit(0).alias("s"))
