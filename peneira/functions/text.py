@@ -30,10 +30,29 @@ def fold_map() -> tuple[str, str]:
     return "".join(of), "".join(to)
 
 
+@cache
+def _latin() -> list[tuple[str, str]]:
+    """(base, its accented letters) of the letters that one byte encodes, which most accented texts are made of."""
+    of, to = fold_map()
+    by: dict[str, str] = {}
+    for x, base in zip(of, to, strict=True):
+        if x < "\u0100":
+            by[base] = by.get(base, "") + x
+    return sorted(by.items())
+
+
 def fold(c: Column) -> Column:
-    """Lower case without accents, composed or decomposed. Null stays null."""
+    """Lower case without accents, composed or decomposed. Null stays null.
+
+    The whole map is slow, letter by letter, so only texts with a letter beyond the common ones take it; the others take one pass a base.
+    """
     of, to = fold_map()
-    return F.regexp_replace(F.translate(F.lower(c), of, to), MARKS, "")
+    low = F.lower(c)
+    common = low
+    for base, letters in _latin():
+        common = F.regexp_replace(common, f"[{letters}]", base)
+    beyond = low.rlike("[\u0100-\u1fff\u20d0-\u20ff\ufe20-\ufe2f]")  # all marks among them
+    return F.when(beyond, F.regexp_replace(F.translate(low, of, to), MARKS, "")).otherwise(common)
 
 
 def trim_all(c: Column) -> Column:
