@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from peneira.config import Config
 from peneira.dims import SCHEDULE_TEAMS, SLUG_OVERRIDES, TEAMS, frame, logo_files
+from peneira.functions.pytext import fold as plain_fold
 from peneira.functions.text import fold
 from peneira.operators.nested import MATCH, Shape, shred_json
 
@@ -175,26 +176,17 @@ def team_logo(spark: SparkSession, names: DataFrame, column: str = "name") -> Da
     return names.withColumn("slug", slug).join(logos, "slug", "left").select(*names.columns, "slug", "logo")
 
 
-def team_aliases(spark: SparkSession) -> DataFrame:
-    """(ord, team_id, alias): names and aliases, folded, in order of precedence."""
-    rows = [(n * 100 + k, i, a) for n, (i, name, aliases) in enumerate(TEAMS) for k, a in enumerate((name, *aliases))]
-    return frame(spark, rows, "ord int, team_id string, raw string").select("ord", "team_id", fold(F.col("raw")).alias("alias"))
-
-
 def team_ids(names: DataFrame, column: str = "name") -> DataFrame:
     """names with team_id: of an equal alias, else of the first that contains the name or is contained in it; null if none.
 
-    Names are resolved once each against the fixed list, held as one array, so there is no pair join.
+    The fixed list is a constant of the expression, in order of precedence, so nothing is joined.
     """
-    spark = names.sparkSession
-    distinct = names.select(F.col(column).alias("__n")).where(F.col(column).isNotNull()).groupBy("__n").agg(F.lit(1).alias("one"))
-    listed = team_aliases(spark).agg(F.array_sort(F.collect_list(F.struct("ord", "team_id", "alias"))).alias("all"))
-    plain = fold(F.trim(F.col("__n")))
-    both = distinct.join(F.broadcast(listed)).withColumn("plain", plain)  # listed is one row of fixed size
-    equal = F.filter("all", lambda a: a["alias"] == F.col("plain"))
-    part = F.filter("all", lambda a: F.contains(F.col("plain"), a["alias"]) | F.contains(a["alias"], F.col("plain")))
-    found = both.select("__n", F.coalesce(F.get(equal, F.lit(0))["team_id"], F.get(part, F.lit(0))["team_id"]).alias("team_id"))
-    return names.join(found, names[column].eqNullSafe(found["__n"]), "left").select(*(names[c] for c in names.columns), "team_id")
+    aliases = [(team, plain_fold(a)) for team, name, more in TEAMS for a in (name, *more)]
+    listed = F.array(*(F.struct(F.lit(t).alias("team_id"), F.lit(a).alias("alias")) for t, a in aliases))
+    rows = names.withColumn("__plain", fold(F.trim(F.col(column)))).withColumn("__all", listed)
+    equal = F.filter("__all", lambda a: a["alias"] == F.col("__plain"))
+    part = F.filter("__all", lambda a: F.contains(F.col("__plain"), a["alias"]) | F.contains(a["alias"], F.col("__plain")))
+    return rows.select(*names.columns, F.coalesce(F.get(equal, F.lit(0))["team_id"], F.get(part, F.lit(0))["team_id"]).alias("team_id"))
 
 
 def team_list(spark: SparkSession) -> DataFrame:

@@ -87,7 +87,8 @@ def index_as_json(posts: DataFrame) -> DataFrame:
 def write_metadata(totals: DataFrame, statistics: DataFrame, path: str) -> None:
     """The one-row description of an index, with its statistics by chunk size."""
     listed = statistics.agg(F.array_sort(F.collect_list(F.struct(*statistics.columns))).alias("chunkSizeStats"))
-    totals.crossJoin(F.broadcast(listed)).coalesce(1).write.mode("overwrite").json(path)  # one row each
+    numbers = totals.first().asDict()
+    listed.select(*(F.lit(v).alias(k) for k, v in numbers.items()), "chunkSizeStats").coalesce(1).write.mode("overwrite").json(path)
 
 
 def string_leaves(value: object) -> list[str]:
