@@ -65,18 +65,18 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     Null shares and repeats count as 0 and 1; a repeated target source counts once, with its largest share.
     """
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("records"))
-    total = F.lit(total_tokens) if total_tokens is not None else F.coalesce(F.col("all_tokens"), F.lit(0))
+    if total_tokens is None:
+        total_tokens = sizes.agg(F.sum("tokens")).first()[0] or 0
     want = targets.where("source is not null").groupBy("source").agg(
         F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
     )
-    joined = want.join(have, "source", "left").crossJoin(F.broadcast(have.agg(F.sum("available").alias("all_tokens"))))  # one row
-    joined = joined.select(
+    joined = want.join(have, "source", "left").select(
         "source",
         "target_share",
         "max_repeats",
         F.coalesce("available", F.lit(0)).alias("available"),
         F.coalesce("records", F.lit(0)).alias("records"),
-        (F.col("target_share") * total).alias("wanted"),
+        (F.col("target_share") * F.lit(total_tokens)).alias("wanted"),
     )
     copies = F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return joined.withColumn("copies", F.floor(copies * UNIT).cast("bigint"))
