@@ -9,7 +9,7 @@ from peneira import dims
 from peneira.config import Config
 from peneira.functions import html, text, urls
 from peneira.functions.stemmer import duckdb_ctes, stems
-from peneira.operators import crawl, index, schedule, search
+from peneira.operators import crawl, index, kickoff, schedule, search
 from peneira.session import durable
 from peneira.sources.files import summary_rows
 from peneira.sources.tables import table
@@ -549,13 +549,24 @@ def _iso_millis(c):  # noqa: ANN001, ANN202
     return F.unix_millis(F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in forms)))
 
 
+def _kickoffs(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, home_team, kickoff_ms) of every match record, as p3 reads kickoffs; null where none can be read.
+
+    Readings are whole seconds; the two forms that _iso_millis reads keep their milliseconds.
+    """
+    matches = table(spark, d, "match_records")
+    values = kickoff.kickoff_values(matches, table(spark, d, "raw_schedules"), table(spark, d, "feed_catalog"))
+    read = kickoff.normalised_kickoffs(values.where("record_table = 'match_records'")).select("record_id", "epoch")
+    ms = F.coalesce(_iso_millis(F.col("kickoff_iso")), F.col("epoch") * 1000)
+    return matches.join(read, "record_id", "left").select("record_id", "home_team", ms.alias("kickoff_ms"))
+
+
 @query(f"""with m as (select home_team, {_ISO_MS} as kickoff_ms from match_records where home_team is not null),
 r as (select *, row_number() over (partition by home_team order by kickoff_ms) as place from m where kickoff_ms between {NOW_MS} and {NOW_MS} + 14 * 86400000)
 select home_team, cast(place as int) as place, kickoff_ms from r where place <= 3""")
 def upcoming_matches(spark: SparkSession, d: str) -> DataFrame:
     """M1, P10: each home team's next three kickoffs within two weeks."""
-    ms = _iso_millis(F.col("kickoff_iso"))
-    rows = table(spark, d, "match_records").where("home_team is not null").select("record_id", "home_team", ms.alias("kickoff_ms"))
+    rows = _kickoffs(spark, d).where("home_team is not null")
     return schedule.upcoming(rows, "home_team", "kickoff_ms", NOW_MS).select("home_team", "place", "kickoff_ms")
 
 
@@ -564,9 +575,8 @@ select record_id, case when ms is null then 'Data a definir' else strftime(timez
 case when ms is null then 'Horario a definir' else strftime(timezone('America/Sao_Paulo', to_timestamp(ms / 1000)), '%H:%M') end as match_time from m""")
 def kickoff_display(spark: SparkSession, d: str) -> DataFrame:
     """Kickoffs as they are shown."""
-    ms = _iso_millis(F.col("kickoff_iso"))
-    day, hour, _ = schedule.displayed(ms, CONFIG.time_zone)
-    return table(spark, d, "match_records").select("record_id", day.alias("match_date"), hour.alias("match_time"))
+    day, hour, _ = schedule.displayed(F.col("kickoff_ms"), CONFIG.time_zone)
+    return _kickoffs(spark, d).select("record_id", day.alias("match_date"), hour.alias("match_time"))
 
 
 @query("""select record_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(broadcasters, lambda b: trim(coalesce(b, ''))), lambda b: b <> ''))), '|'), '') as broadcasters from match_records""")
