@@ -27,7 +27,7 @@ def first_of_hash(docs: DataFrame, hash_column: str, id_column: str, order_by: s
 
 
 def analyzed(docs: DataFrame, text: str = "cleaned_text", config: Config = Config()) -> DataFrame:
-    """docs with all_tokens, tokens (no stopwords, truncated), truncated and lexical (counts before truncation); rows without tokens are left out."""
+    """docs with kept (all tokens but stopwords), tokens (kept, truncated, for the index alone), truncated and lexical (counts before truncation); rows without tokens are left out."""
     out = docs.withColumn("all_tokens", index_tokens(F.col(text), config.min_token_length))
     kept = without_stopwords(F.col("all_tokens"))
     out = out.withColumn("kept", kept).where(F.size("kept") > 0)
@@ -36,6 +36,7 @@ def analyzed(docs: DataFrame, text: str = "cleaned_text", config: Config = Confi
         *docs.columns,
         lexical_summary(F.col("all_tokens"), config.top_terms).alias("lexical"),
         (F.size("kept") > limit).alias("truncated"),
+        "kept",
         F.slice("kept", 1, limit).alias("tokens"),
     )
 
@@ -131,12 +132,12 @@ def _kept(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def top_terms(docs: DataFrame, doc_id: str, config: Config = Config()) -> DataFrame:
-    """(doc_id, rank, term, frequency, weight): a document's most frequent tokens, ties by first occurrence.
+    """(doc_id, rank, term, frequency, weight): a document's most frequent tokens, truncated by no limit, ties by first occurrence.
 
     Counted on the row itself, without a shuffle: sorted tokens, the starts of their runs, and the distances between these.
     """
-    tokens = F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    rows = docs.where(F.size("tokens") > 0).select(F.col(doc_id).alias("doc_id"), F.size("tokens").alias("n"), "tokens")
+    tokens = F.transform("kept", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    rows = docs.where(F.size("kept") > 0).select(F.col(doc_id).alias("doc_id"), F.size("kept").alias("n"), "kept")
     rows = _kept(rows, ["doc_id", "n"], sorted=F.array_sort(tokens))
     starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.get("sorted", i)["t"] != F.get("sorted", i - 1)["t"], F.lit(True)))
     rows = _kept(rows, ["doc_id", "n", "sorted"], starts=starts)
@@ -148,8 +149,8 @@ def top_terms(docs: DataFrame, doc_id: str, config: Config = Config()) -> DataFr
 
 
 def stem_frequencies(docs: DataFrame, doc_id: str) -> DataFrame:
-    """(doc_id, frequencies): for each document the map of stem to count."""
-    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    """(doc_id, frequencies): for each document the map of stem to count, over all its tokens."""
+    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode("kept").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     vocabulary = stems(counts.groupBy("token").agg(F.lit(1).alias("one")).select("token"))
     by_stem = counts.join(vocabulary, "token").groupBy("doc_id", "stem").agg(F.sum("n").alias("n"))
     return by_stem.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stem", "n")))).alias("frequencies"))

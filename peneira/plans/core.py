@@ -133,7 +133,7 @@ def top_terms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_ANALYZED}, voc as (select distinct token from pos), {duckdb_ctes('voc')} select token, stem from stems")
 def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """T5: stems of the vocabulary."""
-    return stems(_analyzed(spark, d).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.lit(1).alias("one")).select("token"))
+    return stems(_analyzed(spark, d).select(F.explode("kept").alias("token")).groupBy("token").agg(F.lit(1).alias("one")).select("token"))
 
 
 @query(f"""with {_ANALYZED}, voc as (select distinct token from pos), {duckdb_ctes('voc')}

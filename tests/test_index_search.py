@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from peneira.config import Config
 from peneira.operators import index, search
+from peneira.plans import core
 from peneira.sources import files
 from peneira.streaming.incremental import index_stream, stream_postings
 
@@ -57,6 +58,20 @@ def test_top_terms_ties_by_first_place(spark):
     assert [(r.term, r.frequency) for r in got] == [("zico", 2), ("bola", 2), ("ala", 1)]
 
 
+def test_lexical_queries_count_beyond_what_the_index_keeps(spark, tmp_path):
+    # 25,000 tokens fill the index; what follows still counts in terms, stems and vocabulary.
+    rows = [(1, "h", 1, "bola " * 25_000 + "gol " * 30_000 + "jogadores", "https://y.com/longo", "Longo")]
+    docs = analyzed(spark, rows=rows)
+    assert docs.select(F.size("kept"), F.size("tokens"), "truncated").collect() == [(55_001, 25_000, True)]
+    assert {r.term for r in index.postings(docs, "raw_html_hash").select("term").distinct().collect()} == {"bol"}
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = core.top_terms(spark, str(tmp_path)).sort("rank").collect()
+    assert [(r.term, r.frequency, r.weight) for r in got] == [("gol", 30_000, 0.545445), ("bola", 25_000, 0.454537), ("jogadores", 1, 1.8e-05)]
+    stems = {r.token: r.stem for r in core.stem_vocabulary(spark, str(tmp_path)).collect()}
+    assert set(stems) == {"bola", "gol", "jogadores"}
+    assert {r.stem: r.n for r in core.stem_frequencies(spark, str(tmp_path)).collect()} == {stems["gol"]: 30_000, stems["bola"]: 25_000, stems["jogadores"]: 1}
+
+
 def parts(spark, size=160):
     config = Config(chunk_sizes=(size,))
     docs = analyzed(spark, config)
