@@ -13,6 +13,7 @@ own tasks: no shuffle, whatever the skew.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -164,6 +165,74 @@ def shred_json(df: DataFrame, json_column: str, keep: Sequence[str], shape: Shap
     return source.mapInArrow(run, schema)
 
 
+# Loose JSON: strings of either quotes, and bare names before a colon.
+_LOOSE = re.compile(r"""("(?:[^"\\]|\\.)*")|'((?:[^'\\]|\\.)*)'|([A-Za-z_$][\w$]*)(?=\s*:)""", re.S)
+
+
+def loosely_parsed(text: str | None):
+    """The value of a JSON text, else of one with unquoted names or single quotes, as scripts have; raises ValueError where it is neither."""
+    try:
+        return parse(text)
+    except ValueError:
+        if text is None:
+            raise
+
+    def strict(m: re.Match) -> str:
+        if m[1]:
+            return m[1]
+        if m[3]:
+            return f'"{m[3]}"'
+        return '"' + re.sub(r"\\.|\"", lambda e: {"\\'": "'", '"': '\\"'}.get(e[0], e[0]), m[2], flags=re.S) + '"'
+
+    return parse(_LOOSE.sub(strict, text))
+
+
+def fitted(value, kind: T.DataType, shape: Shape, path: str = ""):
+    """A value in the form of a type of structs, arrays and strings: JSON text opened, one object as a list of one, bare strings as objects.
+
+    What can't stand at its place is null, and costs nothing beside it; null elements keep their position.
+    """
+    if isinstance(kind, T.StringType):
+        return scalar_text(value)
+    value = held(value)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(value, dict) and path in shape.lists:
+            value = [value]
+        return [fitted(v, kind.elementType, shape, f"{path}[]") for v in value] if isinstance(value, list) else None
+    if type(value) is str and path in shape.bare:
+        value = {shape.bare[path]: value}
+    if not isinstance(value, dict):
+        return None
+    return {f.name: fitted(value.get(f.name), f.dataType, shape, f"{path}.{f.name}" if path else f.name) for f in kind.fields}
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields]) if isinstance(kind, T.StructType) else pa.string()
+
+
+def fitted_json(df: DataFrame, json_column: str, keep: Sequence[str], kind: T.StructType, shape: Shape, out: str) -> DataFrame:
+    """The kept columns and `out`, the JSON column's value in the form of the type; null where it isn't valid JSON, even loosely."""
+    source = df.select(*keep, F.col(json_column).cast("string").alias("__json"))
+    schema = T.StructType([*source.select(*keep).schema.fields, T.StructField(out, kind)])
+
+    def read(text: str | None):
+        try:
+            return fitted(loosely_parsed(text), kind, shape)
+        except ValueError:
+            return None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                values = pa.array([read(x.as_py()) for x in part.column(len(keep))], _arrow(kind))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), values], [*keep, out])
+
+    return source.mapInArrow(run, schema)
+
+
 def parent_label(dewey: Column, levels: int = 1) -> Column:
     """The label of the ancestor that many levels up, by truncation."""
     return F.slice(dewey, F.lit(1), F.size(dewey) - F.lit(levels))

@@ -10,7 +10,7 @@ from peneira.config import Config
 from peneira.dims import SCHEDULE_TEAMS, SLUG_OVERRIDES, TEAMS, frame, logo_files
 from peneira.functions.pytext import fold as plain_fold
 from peneira.functions.text import fold
-from peneira.operators.nested import MATCH, Shape, shred_json
+from peneira.operators.nested import AGENDA, fitted_json
 
 #: An unknown kickoff, after all known ones.
 UNKNOWN = 9_007_199_254_740_991
@@ -36,9 +36,11 @@ def embedded_block(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"window\.dataSportsSchedule\s*=\s*(\{[\s\S]*?\});", 1), F.lit(""))
 
 
-def parsed_payload(text: Column) -> Column:
-    """A payload as a struct; unquoted names and single quotes are read, too."""
-    return F.from_json(text, PAYLOAD, {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"})
+def parsed_payloads(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """The kept columns and `parsed`, a payload as a struct, whatever its form: a single object in place of a list, bare contestants, JSON text
+    inside, unquoted names and single quotes are read. Runs in the scan's tasks, without a shuffle."""
+    kind = payloads.sparkSession.range(0).select(F.from_json(F.lit(None).cast("string"), PAYLOAD).alias("p")).schema["p"].dataType
+    return fitted_json(payloads, column, keep, kind, AGENDA, "parsed")
 
 
 def logo_url(c: Column) -> Column:
@@ -67,8 +69,10 @@ def broadcasters(sources: Column) -> Column:
 
 
 def schedule_matches(payloads: DataFrame, keep: list[str], payload: str = "payload", fallback_url: Column | None = None, config: Config = Config()) -> DataFrame:
-    """Flat matches of well-formed payloads; events without a match or without either name are left out. JVM only: for payloads of the documented schema."""
-    events = payloads.select(*keep, (fallback_url if fallback_url is not None else F.lit("")).alias("__page"), F.posexplode(parsed_payload(F.col(payload))["scheduleTeam"]["teamAgenda"]["future"]).alias("event_no", "e"))
+    """Flat matches of all payloads, well-formed or not; events without a match or without either name are left out."""
+    paged = payloads.withColumn("__page", fallback_url if fallback_url is not None else F.lit(""))
+    parsed = parsed_payloads(paged, payload, [*keep, "__page"])
+    events = parsed.select(*keep, "__page", F.posexplode("parsed.scheduleTeam.teamAgenda.future").alias("event_no", "e"))
     m, ed = F.col("e.match"), F.col("e.editorialData")
     entries = F.transform(m["liveWatchSources"], lambda s: F.struct(F.trim(F.coalesce(s["name"], F.lit(""))).alias("name"), logo_url(F.coalesce(text_or_null(s["officialLogoUrl"]), s["highlightLogoUrl"])).alias("logo")))
     rows = events.where(m.isNotNull()).select(
@@ -95,11 +99,6 @@ def schedule_matches(payloads: DataFrame, keep: list[str], payload: str = "paylo
     return rows.where("home_team is not null and away_team is not null")
 
 
-def messy_matches(raw: DataFrame) -> DataFrame:
-    """The scalar fields of every match object, whatever the payload's damage: raw_id, dewey, fields."""
-    return shred_json(raw, "payload", ["raw_id"], Shape(tables=(MATCH,), lists=("scheduleTeam.teamAgenda.future",)))
-
-
 def upcoming(matches: DataFrame, team: str, kickoff_ms: str, now_ms: int, limit: int | None = 3, days: int = 14) -> DataFrame:
     """Each team's next matches from now to the end of the window, both included, soonest first; no row if limit is None.
 

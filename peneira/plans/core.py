@@ -535,7 +535,7 @@ def rate_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def schedule_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Flat matches of the payloads that have the documented schema."""
+    """Flat matches of all payloads."""
     raw = table(spark, d, "raw_schedules")
     rows = schedule.schedule_matches(raw, ["raw_id"], fallback_url=F.col("page_url"))
     return rows.select("raw_id", "event_no", "home_team", "away_team", "home_logo", "start_date", "start_hour", "competition", F.array_join("broadcasters", "|").alias("broadcasters"), "venue", "city", "state", "phase", "source_url", "kickoff_ms")

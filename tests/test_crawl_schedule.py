@@ -1,7 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
 from peneira.config import Config
 from peneira.operators import crawl, schedule
+from peneira.plans import core
 from peneira.sources import files
 
 
@@ -77,6 +80,30 @@ def test_schedule_page(spark):
     assert (shown.match_date, shown.match_time, shown.kickoff_iso, shown.competition) == ("09/03/2025", "16:00", "2025-03-09T19:00:00.000Z", "Competicao nao informada")
 
 
+def test_schedule_matches_of_irregular_payloads(spark, tmp_path):
+    one = {"match": {"firstContestant": "A", "secondContestant": {"name": "B"}, "startDate": "2025-03-09", "startHour": "16:00", "liveWatchSources": {"name": "TV"}}}
+    two = {"match": json.dumps({"firstContestant": {"popularName": "C"}, "secondContestant": json.dumps({"popularName": "D"}), "location": "x"})}
+    agenda = lambda future: json.dumps({"scheduleTeam": {"teamAgenda": {"future": future}}})
+    payloads = [
+        agenda(one),
+        agenda([None, two, one, {"match": {"firstContestant": "A"}}, {}, 7]),
+        json.dumps({"scheduleTeam": agenda(two)[len('{"scheduleTeam": ') : -1]}),
+        agenda([one])[:-9],
+        None,
+        "{scheduleTeam:{teamAgenda:{future:{match:{firstContestant:'It\\'s \"E\"',secondContestant:{name:'F'}}}}}}",
+    ]
+    rows = [(n, f"p{n}", p) for n, p in enumerate(payloads)]
+    spark.createDataFrame(rows, "raw_id bigint, page_url string, payload string").write.parquet(f"{tmp_path}/raw_schedules.parquet")
+    got = core.schedule_matches(spark, str(tmp_path)).collect()
+    assert sorted((r.raw_id, r.event_no, r.home_team, r.away_team, r.broadcasters, r.source_url) for r in got) == [
+        (0, 0, "A", "B", "TV", "p0"),
+        (1, 1, "C", "D", "", "p1"),
+        (1, 2, "A", "B", "TV", "p1"),
+        (2, 0, "C", "D", "", "p2"),
+        (5, 0, 'It\'s "E"', "F", "", "p5"),
+    ]
+
+
 def test_upcoming_bounds_are_included(spark):
     day = 86_400_000
     df = spark.createDataFrame([("t", k) for k in (-1, 0, 5, 5, 14 * day, 14 * day + 1)] + [("u", 3), (None, None)], "team string, ms bigint")
