@@ -8,10 +8,12 @@ Evidence, all of it as column expressions on the page's own row but for one smal
   slug and the title with each sentence's terms;
 * notices: sentences that fail, refuse, demand scripts or a check, announce or fill in;
 * duplication: a sentence of low-information pages that stands on several different
-  pages, on several hosts or often on one host, is a served response and not content.
+  pages is a served response and not content; so is a whole text of any length that
+  stands under several different titles or address slugs. Single sentences don't count on
+  longer pages: reports of different matches share some.
 
-A page is residue if it has a placeholder, or if notices, known or duplicated, are all
-that it says. A page with content of its own that mentions or carries a notice is not.
+A page of any length is residue if it has a placeholder, or if notices, known or
+duplicated, are all that it says but for a few words. A page with content of its own that mentions or carries a notice is not.
 """
 
 from __future__ import annotations
@@ -106,17 +108,27 @@ NOTICES = (
     r"\b(?:bla )+bla\b|\bx{3,}(?: x{3,})+|\basdf\b|\bqwer(?:ty)?\b|\bteste(?: teste)+\b|\bteste \d+ teste\b",
     r"\b(?:texto|paragrafo|pagina) de (?:exemplo|teste)\b|\bsample (?:page|text)\b|\bplaceholder text\b|\byour (?:content|text) goes here\b|\b(?:vai|va) aqui\b|\baqui vai\b|\binsira aqui\b|\binserte aqui\b",
     r"\b(?:nao tem|sem|no tiene|don'?t have) (?:permiss|permis)|\b(?:nao autorizad|unauthorized|not authorized)",
+    # the lines of a stack trace
+    r"^at [\w$.<>/]+ ?\(|^file \"[^\"]+\", line \d+|^#\d+ (?:/|\{main\}|\[internal)|^traceback \(most recent|^caused by: [\w.$]+|^\.\.\. \d+ more\b",
+    r"\buncaught \w*(?:exception|error)\b|^(?:exception in thread .*|(?:[\w$]+\.)*\w*(?:exception|error)(?::.*|$))|\bin /[\w./-]+(?: on line |:)\d+",
     r"\bsubstitua este\b|\bedit or delete it\b|\btrocar antes de publicar\b|\blegenda provisoria\b|\breplace this\b",
 )
 NOTICE = "(?:" + "|".join(NOTICES) + ")"
 
-#: A page that says no more words than this itself is of low information.
-LOW_WORDS = 60
+# The words of the usual filler, of three and more letters. A sentence mostly of these is filler, too.
+FILLER = (
+    "lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam "
+    "quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur "
+    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim est laborum"
+).split()
+
 #: Words beside its notices that a page may have and still say nothing: the rest of a message, a button.
 REST_WORDS = 14
-#: A sentence on so many different pages, all of low information, is a served response.
+#: A page that says no more words than this itself is of low information.
+LOW_WORDS = 60
+#: A sentence on so many different pages, all of low information, or a text under so many subjects, is a served response.
 SAME_PAGES = 4
-#: Words of a page, beside its headline, up to which duplication alone makes it residue.
+#: Words of a page, beside its headline, up to which its sentences are looked up one by one; beyond, its whole text is.
 SERVED_WORDS = 20
 
 
@@ -152,68 +164,81 @@ def own_text(text: Column) -> Column:
 
 
 def page_evidence(docs: DataFrame) -> DataFrame:
-    """One row for each page that has a placeholder or says little: doc_id, site, url, placeholder, own_words, pieces.
+    """One row for each page: doc_id, site, url, placeholder, notice and rest (words of notices, and beside these and the headline), pieces, body, subject.
 
-    pieces: its own sentences, each with its words and whether it is the headline or a notice.
-    Null title, url or text count as empty. Other columns are not read. The rows are few and are written once, as several steps read them.
+    Sentences are read until rest exceeds SERVED_WORDS, as the page is no case by its notices then. pieces: the sentences of pages that say little,
+    each with its key and whether it is the headline or a notice. body: a digest of all sentences but the headline. subject: a digest of the address
+    slug and the title. Null title, url or text count as empty. Other columns are not read. The rows are small and written once, as several steps read them.
     """
     text = F.coalesce("text", "cleaned_text", F.lit(""))
-    own = docs.select(
-        "doc_id",
-        "site",
-        "url",
-        "title",
-        (has_placeholder(F.col("title")) | has_placeholder(F.col("cleaned_text"))).alias("placeholder"),
-        once(own=own_text(text)).alias("o"),
-    )
-    own = own.select("doc_id", "site", "url", "title", "placeholder", F.col("o.own").alias("own"), once(n=word_count(F.col("o.own"))).alias("w"))
-    low = own.where(F.col("placeholder") | (F.col("w.n") <= LOW_WORDS))
+    title, placeholder = F.coalesce("title", F.lit("")), has_placeholder(F.col("title")) | has_placeholder(F.col("cleaned_text"))
     slug = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^/]+/(?:.*/)?([^/?#]+)", 1)
-    head = F.array_union(terms(F.regexp_replace(slug, "-", " ")), terms(F.coalesce("title", F.lit(""))))
-    low = low.select("doc_id", "site", "url", "placeholder", F.col("w.n").alias("own_words"), "own", once(head=head).alias("h"))
-    folded = fold(F.regexp_replace(F.regexp_replace("own", "[\u00a0\ufeff]", " "), "\r\n?", "\n"))
-    sentences = F.filter(F.split(F.when(F.col("own_words") <= LOW_WORDS, F.trim(folded)), r"(?<=[.!?…])\s+|\s*\n\s*"), lambda s: F.length(s) > 0)
-
-    def piece(s: Column) -> Column:
-        own_terms = terms(s)
-        shared = F.size(F.array_intersect(own_terms, F.col("h.head")))
-        return F.struct(
-            F.regexp_replace(s, r"\b(?=\w*\d)[0-9a-f]{4,}\b|\d+", "9").alias("key"),
-            word_count(s).alias("words"),
-            ((F.size(own_terms) >= 3) & (shared * 5 >= F.size(own_terms) * 3)).alias("headline"),
-            s.rlike(NOTICE).alias("notice"),
-        )
-
-    return durable(low.select("doc_id", "site", "url", "placeholder", "own_words", F.transform(sentences, piece).alias("pieces")))
+    head = F.array_union(terms(F.regexp_replace(slug, "-", " ")), terms(title))
+    subject = F.md5(F.concat_ws("\n", F.regexp_replace(slug, r"\d+", "9"), title))
+    folded = fold(F.regexp_replace(F.regexp_replace(own_text(text), "[\u00a0\ufeff]", " "), "\r\n?", "\n"))
+    folded = F.regexp_replace(folded, r'(file "[^"\n]+", line \d+[^\n]*)\n', "$1 ")  # a stack trace's line of code belongs to its place
+    sentences = F.filter(F.split(F.trim(folded), r"(?<=[.!?…])\s+|\s*\n\s*"), lambda s: F.length(s) > 0)
+    filler_words = F.array(*(F.lit(w) for w in FILLER))
+
+    def mostly(s: Column, words: Column) -> Column:
+        own = F.array_distinct(F.regexp_extract_all(s, F.lit("[a-z0-9]{3,}"), F.lit(0)))  # terms of what is folded already
+        bound = F.transform(F.array(own), lambda t: (F.size(t) >= 3) & (F.size(F.array_intersect(t, words)) * 5 >= F.size(t) * 3))
+        return F.get(bound, F.lit(0))
+
+    headline = lambda s: mostly(s, F.col("e.head"))
+    notice = lambda s: s.rlike(NOTICE) | mostly(s, filler_words)
+    masked = lambda s: F.regexp_replace(s, r"\b(?=\w*\d)[0-9a-f]{4,}\b|\d+", "9")
+
+    def step(a: Column, s: Column) -> Column:
+        kind = F.when(notice(s), "notice").when(headline(s), "headline").otherwise("rest")
+        added = lambda k: F.struct(*((a[f] + F.when(k == f, word_count(s)).otherwise(0)).alias(f) for f in ("notice", "rest")))
+        return F.when(a["rest"] > SERVED_WORDS, a).otherwise(F.get(F.transform(F.array(kind), added), F.lit(0)))
+
+    piece = lambda s: F.struct(masked(s).alias("key"), headline(s).alias("headline"), notice(s).alias("notice"))
+    page = docs.select("doc_id", "site", "url", once(placeholder=placeholder, head=head, subject=subject, sentences=sentences).alias("e"))
+    said = F.col("e.sentences")
+    tally = F.aggregate(said, F.struct(F.lit(0).alias("notice"), F.lit(0).alias("rest")), step)
+    words = F.aggregate(said, F.lit(0), lambda n, s: F.when(n > LOW_WORDS, n).otherwise(n + word_count(s)))
+    # The headline is looked for among the first two sentences.
+    body = F.md5(masked(F.array_join(F.filter(said, lambda s, pos: (pos > 1) | ~headline(s)), "\n")))
+    page = page.select("doc_id", "site", "url", "e", once(tally=tally, words=words, body=body).alias("w"))
+    low = (F.col("w.words") <= LOW_WORDS) | (F.col("w.tally.rest") <= SERVED_WORDS)
+    pieces = F.transform(F.when(low, said), piece).alias("pieces")
+    return durable(page.select("doc_id", "site", "url", "e.placeholder", "e.subject", "w.tally.notice", "w.tally.rest", "w.body", pieces))
 
 
 def served_sentences(evidence: DataFrame, same_pages: int = SAME_PAGES) -> DataFrame:
-    """The sentences that stand on at least so many different pages of low information, with their pages and hosts.
+    """The sentences that stand on at least so many different pages of low information.
 
     Pages are told apart by address. Counted in steps, each combined before its shuffle, so no sentence gathers in one task.
     """
-    said = evidence.where(f"own_words <= {LOW_WORDS}").select("site", "url", F.explode("pieces").alias("p")).where("p.notice or not p.headline")
+    said = evidence.select("site", "url", F.explode("pieces").alias("p")).where("p.notice or not p.headline")
     pages = said.groupBy(F.col("p.key").alias("key"), "site", "url").agg(F.lit(1).alias("one"))
-    hosts = pages.groupBy("key", "site").agg(F.count("*").alias("pages"))
-    return hosts.groupBy("key").agg(F.sum("pages").alias("pages"), F.count("*").alias("hosts")).where(F.col("pages") >= same_pages)
+    return pages.groupBy("key").agg(F.count("*").alias("pages")).where(F.col("pages") >= same_pages)
+
+
+def served_bodies(evidence: DataFrame, same_pages: int = SAME_PAGES) -> DataFrame:
+    """The whole texts that stand under at least so many subjects; one report taken over by several sites has one."""
+    subjects = evidence.groupBy("body", "subject").agg(F.lit(1).alias("one"))
+    return subjects.groupBy("body").agg(F.count("*").alias("subjects")).where(F.col("subjects") >= same_pages).select("body")
 
 
-def residue(docs: DataFrame, rest_words: int = REST_WORDS, served_words: int = SERVED_WORDS, same_pages: int = SAME_PAGES) -> DataFrame:
+def residue(docs: DataFrame, rest_words: int = REST_WORDS, same_pages: int = SAME_PAGES) -> DataFrame:
     """(doc_id, reason) of the pages that are residue; reason is 'placeholder', 'notice' or 'served'.
 
-    'notice': a known notice, and no more than rest_words words beside it and the headline. 'served': no more than served_words
-    words beside the headline, all in sentences that several pages were served. A page that says nothing at all is neither.
+    'notice': a known notice, and no more than rest_words words beside it and the headline. 'served': nothing beside the headline but sentences, or
+    a text of any length, that several pages were served. A page that says nothing at all is neither.
     """
     evidence = page_evidence(docs)
     by_placeholder = evidence.where("placeholder").select("doc_id", F.lit("placeholder").alias("reason"))
-    low = evidence.where(f"not placeholder and own_words <= {LOW_WORDS}")
-    words = lambda name, test: F.aggregate(F.filter("pieces", test), F.lit(0), lambda a, p: a + p["words"]).alias(name)
-    rest = words("rest", lambda p: ~p["notice"] & ~p["headline"])
-    low = low.select("doc_id", "pieces", words("notice_words", lambda p: p["notice"]), rest)
-    by_notice = low.where((F.col("notice_words") > 0) & (F.col("rest") <= rest_words)).select("doc_id", F.lit("notice").alias("reason"))
+    other = evidence.where("not placeholder")
+    known = (F.col("notice") > 0) & (F.col("rest") <= rest_words)
+    by_notice = other.where(known).select("doc_id", F.lit("notice").alias("reason"))
     # What the detectors don't know is decided by duplication.
-    open_ = low.where((F.col("notice_words") == 0) & F.col("rest").between(1, served_words))
-    pieces = open_.select("doc_id", F.explode("pieces").alias("p")).where("not p.headline").select("doc_id", F.col("p.key").alias("key"))
+    little = (F.col("notice") == 0) & F.col("rest").between(1, SERVED_WORDS)
+    pieces = other.where(little).select("doc_id", F.explode("pieces").alias("p")).where("not p.headline").select("doc_id", F.col("p.key").alias("key"))
     joined = pieces.join(served_sentences(evidence, same_pages).select("key", F.lit(True).alias("served")), "key", "left")
     by_service = joined.groupBy("doc_id").agg(F.count_if(F.col("served").isNull()).alias("own")).where("own = 0").select("doc_id", F.lit("served").alias("reason"))
-    return by_placeholder.unionByName(by_notice).unionByName(by_service)
+    more = other.where(~known & ~little & (F.col("rest") > 0))
+    by_body = more.join(served_bodies(evidence, same_pages), "body", "left_semi").select("doc_id", F.lit("served").alias("reason"))
+    return by_placeholder.unionByName(by_notice).unionByName(by_service).unionByName(by_body)

@@ -58,3 +58,18 @@ def test_nulls_empty_long_and_repeated_rows(spark):
     df = spark.createDataFrame([empty, page(4, ""), page(5, NAV + FOOT), long, bad, bad], DOCS)
     assert sorted((r.doc_id, r.reason) for r in residue(df).collect()) == [(3, "notice"), (3, "notice")]
     assert residue(df.limit(0)).collect() == []
+
+
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+TRACE = "Fatal error: Uncaught TypeError in /srv/www/app/render.php:118\n" + "".join(f"#{k} /srv/www/app/view_{k}.php({k}): View->draw()\n" for k in range(40))
+UNKNOWN = "O roteador interno perdeu a rota do pedido e devolveu este aviso ao leitor, que pode anotar o horário, sair com calma e contar tudo depois ao balcão da portaria."
+
+
+def test_long_filler_dumps_and_served_responses_are_found(spark):
+    words = ("rodada", "mercado", "arbitragem", "estadio", "torcida")
+    served = [page(k, NAV + UNKNOWN + FOOT, title=None, slug=f"sobre-{w}") for k, w in enumerate(words, 10)]
+    # One report on five sites, and five reports that share their sentences, are content.
+    shared = [page(k, NAV + NEWS + FOOT, site=f"h{k}.example") for k in range(20, 25)]
+    mixed = [page(30 + k, NAV + " ".join(x.strip() for x in NEWS.split(".")[k:] + NEWS.split(".")[:k] if x.strip()) + FOOT, slug=f"sobre-{w}") for k, w in enumerate(words[:4])]
+    rows = [page(1, NAV + "\n".join([LOREM] * 4) + FOOT), page(2, NAV + TRACE + FOOT), page(3, NAV + NEWS + "\n" + LOREM + FOOT), *served, *shared, *mixed]
+    assert found(spark, rows) == {1: "notice", 2: "notice", **dict.fromkeys(range(10, 15), "served")}
