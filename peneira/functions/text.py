@@ -67,8 +67,8 @@ def collapse(c: Column) -> Column:
 
 def normalized_term(c: Column) -> Column:
     """One spelling for a term: folded and trimmed; null where nothing is left."""
-    # Most terms are spelled so already, and one test is cheaper than the passes of folding.
-    return F.when(c.rlike("^[a-z0-9]+$"), c).otherwise(F.nullif(trim_all(fold(c)), F.lit("")))
+    # Most terms are spelled so already, and one test is cheaper than the passes of folding. \z, as $ would pass over a line's end.
+    return F.when(c.rlike(r"^[a-z0-9]+\z"), c).otherwise(F.nullif(trim_all(fold(c)), F.lit("")))
 
 
 def utf16_length(c: Column) -> Column:

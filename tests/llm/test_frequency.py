@@ -28,6 +28,12 @@ def test_spellings_deliveries_and_nulls(spark):
     assert got == {("postings", "agua"): (6, 2, "common"), ("postings", "sol"): (0, 1, "rare")}
 
 
+def test_line_ends_at_the_end_of_a_term_are_trimmed(spark):
+    rows = [(160, f"gol{end}", str(k), 0, 1, None, None) for k, end in enumerate(("", "\n", "\r", "\r\n", "\u2028"))]
+    got = stats(posting_occurrences(spark.createDataFrame(rows, POSTINGS)))
+    assert got == {("postings", "gol"): (5, 5, "common")}
+
+
 def test_top_terms_count_a_hash_once(spark):
     t = [{"term": "Gol", "frequency": 4, "weight": 0.1}, {"term": "gol ", "frequency": 2, "weight": 0.1}, None, {"term": None, "frequency": 3, "weight": None}]
     rows = [("a", None, None, (1, t)), ("a", None, None, (1, t)), ("b", None, None, None), (None, None, None, (1, t)), ("c", None, None, (1, [])), ("d", None, None, (1, None))]
