@@ -1,10 +1,11 @@
 """Mixed timestamp formats and time zones to one UTC instant.
 
-Every value gives the array of all its valid interpretations, each a format and an
-instant. A source whose order of day and month is declared leaves one at most. For a
-source that declares none, Viterbi over its record order chooses: a switch of format and
-a jump backward in time cost, so a source that writes its records in time order settles
-its own ambiguous dates.
+Every value gives the array of all its valid interpretations, each a format, an instant
+and whether it fits the order of day and month that its source declares. Viterbi over
+each source's record order chooses among them: a switch of format and a jump backward in
+time cost, and a reading against the declared order costs more than any switches and
+jumps that it could save. So a declared order decides, and a source that declares none
+but writes its records in time order settles its own ambiguous dates.
 
 The search is exact at any size. A source's records are cut into blocks by range
 partitioning, however many of all rows it holds; each block reports the least cost
@@ -15,20 +16,23 @@ between its fixed ends.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from datetime import UTC, date, datetime, timedelta
 from functools import cache, lru_cache
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peneira.operators.nested import MATCH, agenda_nodes
-from peneira.session import durable
+from peneira.session import durable, durable_in_order, release
 
 BRASILIA = "America/Sao_Paulo"
 
@@ -80,35 +84,43 @@ def zone(name: str | None) -> ZoneInfo | None:
         return None
 
 
+Reading = tuple[str, int, bool]
+Cand = Sequence[tuple]
+
+
 @lru_cache(maxsize=100_000)
-def dates(plain: str, order: str | None) -> tuple[tuple[tuple[str, date], ...], int]:
-    """All valid readings of the date at the start of a folded text, as (format, date), and where it ends; () if none."""
+def dates(plain: str, order: str | None) -> tuple[tuple[tuple[str, date, bool], ...], int]:
+    """All valid readings of the date at the start of a folded text, as (format, date, whether it fits the order), and where it ends; () if none.
+
+    Without an order every reading fits. Readings of one date are one, a fitting one if there is any.
+    """
     start = m.end() if (m := _WEEKDAY.match(plain)) else 0
     for kind, pattern in _DATES:
         if not (m := pattern.match(plain, start)):
             continue
         g = m.groups()
         if kind == "ymd":
-            found = [("ymd", g[0], g[2], g[3])]
+            found = [("ymd", g[0], g[2], g[3], True)]
         elif kind == "compact":
-            found = [("ymd", *g)]
+            found = [("ymd", *g, True)]
         elif kind == "num":
             a, b, c = g[0], g[2], g[3]
-            short = len(c) == 2
-            readings = {"dmy": ("dmy", c, b, a), "mdy": ("mdy", c, a, b)}
-            if short:
-                readings["ymd"] = ("ymd", a, b, c)
+            readings = {"dmy": (c, b, a), "mdy": (c, a, b)}
+            if len(c) == 2:
+                readings["ymd"] = (a, b, c)
             # A declared order that cannot stand, as ymd with the year last, leaves month before day.
-            found = list(readings.values()) if order is None else [readings.get(order, readings["mdy"])]
+            meant = order if order in readings else "mdy"
+            found = [(f, *r, order is None or f == meant) for f, r in readings.items()]
+            found.sort(key=lambda r: not r[4])
         else:
             d, name, y = g if kind == "dmonthy" else (g[1], g[0], g[2])
             if name not in MONTHS:
                 continue
-            found = [("named", y, str(MONTHS[name]), d)]
+            found = [("named", y, str(MONTHS[name]), d, True)]
         valid = []
-        for f, y, mo, d in found:
+        for f, y, mo, d, fits in found:
             try:
-                one = (f, date(int(y) + (2000 if len(y) <= 2 else 0), int(mo), int(d)))
+                one = (f, date(int(y) + (2000 if len(y) <= 2 else 0), int(mo), int(d)), fits)
             except ValueError:
                 continue
             if all(one[1] != x[1] for x in valid):
@@ -160,8 +172,12 @@ def instant(day: date, seconds: int, where) -> int | None:
         return None
 
 
-def moments(raw: str | None, order: str | None, default) -> tuple[list[tuple[str, int]], list[tuple[str, date]], bool]:
-    """Readings of one value: instants as (format, epoch seconds), dates as (format, date), and whether a time of day is stated."""
+def _at(days: Iterable[tuple[str, date, bool]], seconds: int, where) -> list[Reading]:
+    return [(f, t, fits) for f, d, fits in days if (t := instant(d, seconds, where)) is not None]
+
+
+def moments(raw: str | None, order: str | None, default) -> tuple[list[Reading], list[tuple[str, date, bool]], bool]:
+    """Readings of one value: instants as (format, epoch seconds, fits), dates as (format, date, fits), and whether a time of day is stated."""
     if raw is None or not raw.strip():
         return [], [], False
     text = _plain(raw)
@@ -171,12 +187,12 @@ def moments(raw: str | None, order: str | None, default) -> tuple[list[tuple[str
         n = int(text.partition(".")[0])
         size = abs(n)
         seconds = n if size < 10**11 else n // 1000 if size < 10**14 else n // 10**6 if size < 10**17 else n // 10**9
-        return [("epoch", seconds)], [], True
+        return [("epoch", seconds, True)], [], True
     found, end = dates(text, order)
     if not found:
         return [], [], False
     if end == len(text):
-        return [(f, t) for f, d in found if (t := instant(d, 0, default)) is not None], list(found), False
+        return _at(found, 0, default), list(found), False
     m = _AFTER.fullmatch(text, end)
     if not m:
         return [], [], False
@@ -185,8 +201,7 @@ def moments(raw: str | None, order: str | None, default) -> tuple[list[tuple[str
     if seconds is None:
         return [], [], False
     where = _zone(g[9:], text, raw)
-    where = default if where is None else where
-    return [(f, t) for f, d in found if (t := instant(d, seconds, where)) is not None], list(found), True
+    return _at(found, seconds, default if where is None else where), list(found), True
 
 
 def clock(raw: str | None):
@@ -202,25 +217,30 @@ def clock(raw: str | None):
     return None if seconds is None else (seconds, _zone(g[9:], text, raw))
 
 
-def interpretations(whole: str | None, day: str | None, time: str | None, order: str | None, zone_id: str | None) -> list[tuple[str, int]]:
-    """All valid interpretations of a kickoff as (format, epoch seconds).
+def readings(whole: str | None, day: str | None, time: str | None, order: str | None, zone_id: str | None) -> list[Reading]:
+    """All valid interpretations of a kickoff as (format, epoch seconds, whether it fits the declared order).
 
-    A readable `whole` decides. Otherwise `day` with a time of day decides, else `day` with `time`; a time that is missing or states none is midnight.
+    A readable `whole` decides: one with a reading that fits. Otherwise `day` with a time of day decides, else `day` with `time`; a time that is
+    missing or states none is midnight.
     """
     default = zone(zone_id) or zone("UTC")
     found, _, _ = moments(whole, order, default)
-    if found:
+    if any(r[2] for r in found):
         return found
     found, days, timed = moments(day, order, default)
     if not days or timed:
         return found
     seconds, where = clock(time) or (0, None)
-    where = default if where is None else where
-    return [(f, t) for f, d in days if (t := instant(d, seconds, where)) is not None]
+    return _at(days, seconds, default if where is None else where)
+
+
+def interpretations(whole: str | None, day: str | None, time: str | None, order: str | None, zone_id: str | None) -> list[tuple[str, int]]:
+    """The interpretations that fit the declared order, as (format, epoch seconds)."""
+    return [(f, t) for f, t, fits in readings(whole, day, time, order, zone_id) if fits]
 
 
-CANDIDATES = T.ArrayType(T.StructType([T.StructField("format", T.StringType()), T.StructField("epoch", T.LongType())]))
-_CANDIDATES = pa.list_(pa.struct([("format", pa.string()), ("epoch", pa.int64())]))
+CANDIDATES = T.ArrayType(T.StructType([T.StructField("format", T.StringType()), T.StructField("epoch", T.LongType()), T.StructField("fits", T.BooleanType())]))
+_CANDIDATES = pa.list_(pa.struct([("format", pa.string()), ("epoch", pa.int64()), ("fits", pa.bool_())]))
 
 
 def with_candidates(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -232,9 +252,16 @@ def with_candidates(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(len(kept) + k).to_pylist() for k in range(len(inputs))]
-            found = [[{"format": f, "epoch": t} for f, t in interpretations(*row)] for row in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(found, _CANDIDATES)], [*kept, "candidates"])
+            offsets, formats, epochs, fit = [0], [], [], []
+            for row in zip(*(batch.column(len(kept) + k).to_pylist() for k in range(len(inputs))), strict=True):
+                for f, t, fits in readings(*row):
+                    formats.append(f)
+                    epochs.append(t)
+                    fit.append(fits)
+                offsets.append(len(formats))
+            flat = pa.StructArray.from_arrays([pa.array(formats, pa.string()), pa.array(epochs, pa.int64()), pa.array(fit, pa.bool_())], fields=list(_CANDIDATES.value_type))
+            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), found], [*kept, "candidates"])
 
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(f"k{n}").alias(k) for n, k in enumerate(keep)), "candidates")
@@ -242,32 +269,42 @@ def with_candidates(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 # Viterbi -----------------------------------------------------------------------------------------
 
-SWITCH, BACKWARD = 1.0, 2.0
-Cand = list[tuple[str, int]]
+#: A reading has two neighbours, so k readings in a row save (k + 1) (SWITCH + BACKWARD) at most by going against the declared order: less than k DECLARED.
+SWITCH, BACKWARD, DECLARED = 1.0, 2.0, 8.0
+_FIGURES = frozenset(("dmy", "mdy", "ymd"))
 
 
-def step_cost(a: tuple[str, int], b: tuple[str, int], switch: float = SWITCH, backward: float = BACKWARD) -> float:
+def step_cost(a: tuple, b: tuple, switch: float = SWITCH, backward: float = BACKWARD) -> float:
     """What it costs to read one record as a and the next as b. Formats without an order of day and month switch nothing."""
-    figures = {"dmy", "mdy", "ymd"}
-    changed = a[0] != b[0] and a[0] in figures and b[0] in figures
+    changed = a[0] != b[0] and a[0] in _FIGURES and b[0] in _FIGURES
     return switch * changed + backward * (b[1] < a[1])
 
 
-def advance(costs: list[float], a: Cand, b: Cand) -> tuple[list[float], list[int]]:
+def own_cost(a: tuple) -> float:
+    """What a reading costs by itself: (format, epoch) nothing, (format, epoch, fits) DECLARED if it doesn't fit."""
+    return 0.0 if len(a) == 2 or a[2] else DECLARED
+
+
+def advance(costs: list[float], a: Cand, b: Cand, own: bool = True) -> tuple[list[float], list[int]]:
     """Least costs of reaching each reading of b, and from which of a; ties go to the first."""
+    if len(a) == len(b) == 1:
+        return [costs[0] + step_cost(a[0], b[0]) + own * own_cost(b[0])], [0]
     out, back = [], []
     for y in b:
         each = [c + step_cost(x, y) for c, x in zip(costs, a, strict=True)]
         k = min(range(len(each)), key=each.__getitem__)
-        out.append(each[k])
+        out.append(each[k] + own * own_cost(y))
         back.append(k)
     return out, back
 
 
+def _start(first: Cand, only: int | None) -> list[float]:
+    return [own_cost(x) if only is None or k == only else float("inf") for k, x in enumerate(first)]
+
+
 def best_path(run: Sequence[Cand], first: int | None = None, last: int | None = None) -> list[int]:
     """The readings of least total cost, with the first and last fixed where given."""
-    inf = float("inf")
-    costs = [0.0 if first is None or k == first else inf for k in range(len(run[0]))]
+    costs = _start(run[0], first)
     backs = []
     for a, b in zip(run, run[1:]):
         costs, back = advance(costs, a, b)
@@ -280,11 +317,10 @@ def best_path(run: Sequence[Cand], first: int | None = None, last: int | None =
 
 
 def run_matrix(run: Sequence[Cand]) -> list[list[float]]:
-    """Least cost from each reading of the first record to each of the last."""
-    inf = float("inf")
+    """Least cost from each reading of the first record to each of the last, both included."""
     rows = []
     for first in range(len(run[0])):
-        costs = [0.0 if k == first else inf for k in range(len(run[0]))]
+        costs = _start(run[0], first)
         for a, b in zip(run, run[1:]):
             costs, _ = advance(costs, a, b)
         rows.append(costs)
@@ -293,12 +329,11 @@ def run_matrix(run: Sequence[Cand]) -> list[list[float]]:
 
 def join_runs(runs: Sequence[tuple[Cand, Cand, list[list[float]]]]) -> list[tuple[int, int]]:
     """For the runs of one source in order, each (first readings, last readings, matrix), the best readings at both ends."""
-    # A run of two columns: its first record's readings, then its last record's.
     costs = [0.0] * len(runs[0][0])
     backs = []
     for n, (first, last, matrix) in enumerate(runs):
         if n:
-            costs, back = advance(costs, runs[n - 1][1], first)
+            costs, back = advance(costs, runs[n - 1][1], first, own=False)  # the matrix has the readings' own costs
             backs.append(back)
         reach, back = [], []
         for j in range(len(last)):
@@ -316,78 +351,114 @@ def join_runs(runs: Sequence[tuple[Cand, Cand, list[list[float]]]]) -> list[tupl
     return list(zip(path[::2], path[1::2], strict=True))
 
 
+def _records(batch: pa.RecordBatch) -> Iterator[tuple[str, list[tuple]]]:
+    """(source, readings) of each row of a batch."""
+    column = batch.column(batch.schema.get_field_index("candidates"))
+    flat = list(zip(*(part.to_pylist() for part in column.values.flatten()), strict=True))
+    offsets = column.offsets.to_pylist()
+    sources = batch.column(batch.schema.get_field_index("__source")).to_pylist()
+    return ((s, flat[a:b]) for s, a, b in zip(sources, offsets[:-1], offsets[1:], strict=True))
+
+
+def block_ends(batches: Iterable[pa.RecordBatch]) -> list[tuple[str, list[tuple], list[tuple], list[list[float]]]]:
+    """(source, first readings, last readings, matrix) of a block's first and last source, which alone may go on outside it."""
+    out: list = []
+    current = first = last = rows = None
+    for batch in batches:
+        for s, c in _records(batch):
+            if rows is not None and s == current:
+                rows = [advance(r, last, c)[0] for r in rows]
+            else:
+                if rows is not None:
+                    out[1:] = [(current, first, last, rows)] if out else []
+                    out = out or [(current, first, last, rows)]
+                current, first = s, c
+                rows = [_start(c, k) for k in range(len(c))]
+            last = c
+    if rows is not None:
+        out[1:] = [(current, first, last, rows)] if out else []
+        out = out or [(current, first, last, rows)]
+    return out
+
+
+def block_choices(batches: Iterable[pa.RecordBatch], fixed: Mapping[str, tuple[int, int]]) -> Iterator[tuple[list[pa.RecordBatch], list[int]]]:
+    """Batches of a block with the index of the reading chosen for each of their rows.
+
+    A record of one reading cuts the path: what comes before it is settled without what comes after, so no more is held than lies between two of these.
+    """
+    held: list[pa.RecordBatch] = []
+    chosen: list[int] = []
+    run: list[list[tuple]] = []
+    current, start, given = None, None, 0  # given: how many of the run have been given out
+
+    def settle(last: int | None) -> None:
+        chosen.extend(best_path(run, start, last)[given:])
+
+    for batch in batches:
+        for s, c in _records(batch):
+            if not run or s != current:
+                if run:
+                    settle(fixed.get(current, (None, None))[1])
+                    run.clear()
+                current, start, given = s, fixed.get(s, (None, None))[0], 0
+            run.append(c)
+            if len(c) == 1:
+                if len(run) == 1 + given:
+                    chosen.append(0)
+                else:
+                    settle(0)
+                run[:], start, given = [c], 0, 1
+        held.append(batch)
+        if len(run) == given:
+            yield held, chosen
+            held, chosen = [], []
+    if run:
+        settle(fixed.get(current, (None, None))[1])
+    if held:
+        yield held, chosen
+
+
 def viterbi(df: DataFrame, source: str, order_by: Sequence[str], blocks: int | None = None) -> DataFrame:
     """df with candidates replaced by `chosen`, one reading a record; records without candidates are left out.
 
     Columns source and order_by tell the sequence; a null source is a source of its own. Exact, whatever the blocks.
+    Candidates are written before they are ranged, as the ranges are sampled, and once more in order, as two passes read them.
     """
     spark = df.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.coalesce(F.col(source).cast("string"), F.lit("\x00")).alias("__source"), *order_by]
-    ranged = df.where(F.size("candidates") > 0).withColumn("__source", keys[0])
-    ranged = ranged.repartitionByRange(n, "__source", *order_by).sortWithinPartitions("__source", *order_by)
-    cut = durable(ranged.withColumn("__block", F.spark_partition_id()))
-    end_schema = "block int, source string, first " + CANDIDATES.simpleString() + ", last " + CANDIDATES.simpleString() + ", matrix array<array<double>>"
-    pairs = lambda c: [(x["format"], x["epoch"]) for x in c]
-    structs = lambda c: [{"format": f, "epoch": t} for f, t in c]
-
-    def ends(batches):
-        # Keeps, of each source, the readings at both ends and the cost between them; only the first and last source of a block may go on outside it.
-        current, first, last, rows, block, out = None, None, None, None, None, []
-        import pandas as pd
-
-        def emit():
-            return (block, current, structs(first), structs(last), [list(r) for r in rows])
-
-        for pdf in batches:
-            for s, b, c in zip(pdf["__source"], pdf["__block"], pdf["candidates"], strict=True):
-                c = pairs(c)
-                if s != current:
-                    if current is not None:
-                        out = [*out[:1], emit()] if len(out) < 2 else [out[0], emit()]
-                    current, first, block = s, c, int(b)
-                    rows = [[0.0 if k == j else float("inf") for k in range(len(c))] for j in range(len(c))]
-                else:
-                    rows = [advance(r, last, c)[0] for r in rows]
-                last = c
-        if current is not None:
-            out = [*out[:1], emit()]
-        yield pd.DataFrame(out, columns=["block", "source", "first", "last", "matrix"])
+    read = durable(df.where(F.size("candidates") > 0).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("\x00"))))
+    ranged = read.repartitionByRange(n, "__source", *order_by).sortWithinPartitions("__source", *order_by)
+    cut = durable_in_order(ranged)
+    release(read)
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = block_ends(batches)
+        block = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int32()), pa.array([json.dumps(x) for x in found], pa.string())], ["block", "ends"])
 
-    found = cut.select("__source", "__block", "candidates").mapInPandas(ends, end_schema).collect()  # two rows a block at most
     by_source: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: r["block"]):
-        by_source.setdefault(r["source"], []).append(r)
-    fixed = {}
-    for s, rs in by_source.items():
-        for r, pick in zip(rs, join_runs([(pairs(r["first"]), pairs(r["last"]), r["matrix"]) for r in rs]), strict=True):
-            fixed[r["block"], s] = pick
+    for block, text in sorted(cut.select("__source", "candidates").mapInArrow(ends, "block int, ends string").collect(), key=lambda r: r[0]):  # two rows a block at most
+        s, *run = json.loads(text)
+        by_source.setdefault(s, []).append((block, run))
+    fixed: dict[int, dict[str, tuple[int, int]]] = {}
+    for s, runs in by_source.items():
+        for (block, _), pick in zip(runs, join_runs([r for _, r in runs]), strict=True):
+            fixed.setdefault(block, {})[s] = pick
     shared = spark.sparkContext.broadcast(fixed)
-    out_schema = T.StructType([*(f for f in cut.schema if not f.name.startswith("__") and f.name != "candidates"), T.StructField("chosen", CANDIDATES.elementType)])
-
-    def follow(batches):
-        import pandas as pd
-
-        held, current, block = [], None, None
-
-        def settle():
-            pdf = pd.DataFrame(held)
-            run = [pairs(c) for c in pdf["candidates"]]
-            path = best_path(run, *shared.value.get((block, current), (None, None)))
-            pdf["chosen"] = [{"format": r[k][0], "epoch": r[k][1]} for r, k in zip(run, path, strict=True)]
-            return pdf[[f.name for f in out_schema]]
+    kept = [f for f in cut.schema if f.name not in ("__source", "candidates")]
+    out_schema = T.StructType([*kept, T.StructField("chosen", cut.schema["candidates"].dataType.elementType)])
 
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                if row["__source"] != current and held:
-                    yield settle()
-                    held = []
-                current, block = row["__source"], int(row["__block"])
-                held.append(row)
-        if held:
-            yield settle()
+    def follow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, chosen in block_choices(batches, shared.value.get(TaskContext.get().partitionId(), {})):
+            done = 0
+            for batch in held:
+                column = batch.column(batch.schema.get_field_index("candidates"))
+                at = pc.add(column.offsets.slice(0, batch.num_rows), pa.array(chosen[done : done + batch.num_rows], pa.int32()))
+                done += batch.num_rows
+                picked = column.values.take(at)
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), picked], [f.name for f in out_schema])
 
-    return cut.mapInPandas(follow, out_schema)
+    return cut.mapInArrow(follow, out_schema)
 
 
 # Kickoffs ----------------------------------------------------------------------------------------
@@ -438,14 +509,9 @@ def utc_text(epoch: Column) -> Column:
 
 
 def normalised_kickoffs(values: DataFrame) -> DataFrame:
-    """(keys, epoch, format) of each record with a readable kickoff.
+    """(keys, epoch, format) of each record with a readable kickoff: every record is chosen by Viterbi over (source, seen_at, keys).
 
-    Records of sources with a declared order are settled where they are read; the others by Viterbi over (source, seen_at, keys).
+    A record whose chosen reading goes against the declared order has none that fits it: the date does not exist, so it is left out.
     """
-    declared = with_candidates(values.where("date_order is not null"), KEYS).where(F.size("candidates") > 0)
-    settled = declared.select(*KEYS, F.col("candidates")[0]["epoch"].alias("epoch"), F.col("candidates")[0]["format"].alias("format"))
-    open_ = values.where("date_order is null")
-    if open_.isEmpty():
-        return settled
-    chosen = viterbi(with_candidates(open_, (*KEYS, "source", "seen_at")), "source", ["seen_at", *KEYS])
-    return settled.unionByName(chosen.select(*KEYS, F.col("chosen")["epoch"].alias("epoch"), F.col("chosen")["format"].alias("format")))
+    chosen = viterbi(with_candidates(values, (*KEYS, "source", "seen_at")), "source", ["seen_at", *KEYS])
+    return chosen.where("chosen.fits").select(*KEYS, F.col("chosen.epoch").alias("epoch"), F.col("chosen.format").alias("format"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +43,61 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+#: The folders written below, by session, to be deleted when the program ends.
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended before the program
+            continue
+    _written.clear()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, deleted when the program ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read it from there ever after.
+    """Write df once as a table in the shared checkpoint folder and read it from there ever after.
 
-    For results that several later jobs read: they are not computed twice, and survive lost executors.
+    For results that several later jobs read: they are not computed twice, survive lost executors, and are read by
+    column, with their size known to the planner. The table is deleted by `release`, or when the program ends.
     """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def durable_in_order(df: DataFrame) -> DataFrame:
+    """The same, but with the partitions of df and the order of their rows kept."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    found = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if found.isDefined():
+        out.written_to = found.get()
+        _written[out.written_to] = df.sparkSession
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that durable wrote. Nothing may read them, or what was derived from them, afterwards."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path and _written.pop(path, None) is not None:
+            _delete(df.sparkSession, path)

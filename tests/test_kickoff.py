@@ -118,3 +118,31 @@ def test_empty_tables(spark):
     feeds = spark.createDataFrame([], "feed string, zone_id string, date_order string")
     raw = spark.createDataFrame([], "raw_id bigint, payload string, fetched_at timestamp_ntz")
     assert normalised_kickoffs(kickoff_values(spark.createDataFrame([], MATCHES), raw, feeds)).collect() == []
+
+
+def test_every_record_passes_through_viterbi(spark, monkeypatch):
+    from peneira.operators import kickoff
+
+    given = []
+
+    def spied(df, source, order_by, blocks=None):
+        given.append({r.record_id: [(c.format, c.fits) for c in r.candidates] for r in df.collect()})
+        return viterbi(df, source, order_by, blocks)
+
+    monkeypatch.setattr(kickoff, "viterbi", spied)
+    feeds = spark.createDataFrame([("a", SP, "dmy"), ("b", "UTC", "mdy"), ("c", "UTC", "ymd"), ("d", "UTC", None)], "feed string, zone_id string, date_order string")
+    raw = spark.createDataFrame([], "raw_id bigint, payload string, fetched_at timestamp_ntz")
+    rows = [(1, "a", "03/04/2018"), (2, "b", "03/04/2018"), (3, "c", "03/04/2018"), (4, "c", "18/04/03"), (5, "a", "04/25/2018"), (6, "b", "05/05/2018"), (7, "d", "03/04/2018"), (8, "a", "2018-04-03")]
+    found = kickoff.normalised_kickoffs(kickoff_values(spark.createDataFrame([(i, f, None, d, None, None, None) for i, f, d in rows], MATCHES), raw, feeds))
+    got = {r.record_id: r.t[:10] for r in found.select("record_id", utc_text(F.col("epoch")).alias("t")).collect()}
+    assert len(given) == 1 and sorted(given[0]) == [i for i, _, _ in rows]
+    assert given[0][1] == [("dmy", True), ("mdy", False)] and given[0][2] == [("mdy", True), ("dmy", False)] and given[0][5] == [("mdy", False)]
+    assert given[0][6] == [("mdy", True)] and [f for f, fits in given[0][4]] == ["ymd", "dmy"]
+    assert got == {1: "2018-04-03", 2: "2018-03-04", 3: "2018-03-04", 4: "2018-04-03", 6: "2018-05-05", 7: "2018-04-03", 8: "2018-04-03"}
+
+
+def test_a_declared_order_outweighs_any_neighbours():
+    # Read against its order, the middle record would save two switches and a jump backward.
+    run = [[("mdy", 10, True)], [("dmy", 5, True), ("mdy", 20, False)], [("mdy", 30, True)]]
+    assert best_path(run) == [0, 0, 0]
+    assert best_path([run[0], [c[:2] for c in run[1]], run[2]]) == [0, 1, 0]
