@@ -43,21 +43,81 @@ def _no_constant(name: str) -> None:
 _DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|true|false|null")
+
+
+def _deeply_parsed(text: str):
+    """The value of a JSON text nested deeper than the usual parser can follow: its open objects and lists are kept in a list."""
+    skip = lambda i: _BLANK.match(text, i).end()
+
+    def key_at(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("no key")
+        key, i = json.decoder.scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no value")
+        return key, skip(i + 1)
+
+    open_: list[tuple[dict | list, str | None]] = []
+    i = skip(0)
+    while True:
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            i = skip(i + 1)
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    key, i = key_at(i)
+                    open_.append(({}, key))
+                else:
+                    open_.append(([], None))
+                continue
+            value, i = {} if c == "{" else [], i + 1
+        elif c == '"':
+            value, i = json.decoder.scanstring(text, i + 1, True)
+        elif m := _ATOM.match(text, i):
+            value, i = _Number(m[1]) if m[1] else {"true": True, "false": False, "null": None}[m[0]], m.end()
+        else:
+            raise ValueError("no value")
+        while True:
+            i = skip(i)
+            if not open_:
+                if i != len(text):
+                    raise ValueError("more than one value")
+                return value
+            box, key = open_[-1]
+            if isinstance(box, dict):
+                box[key] = value
+            else:
+                box.append(value)
+            c, i = text[i : i + 1], i + 1
+            if c == ",":
+                i = skip(i)
+                if isinstance(box, dict):
+                    key, i = key_at(i)
+                    open_[-1] = (box, key)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError("not closed")
+            value = open_.pop()[0]
+
+
 def parse(text: str | None):
-    """The value of a JSON text, numbers as written; raises ValueError where it isn't valid JSON."""
+    """The value of a JSON text, numbers as written, nested as deep as may be; raises ValueError where it isn't valid JSON."""
     if text is None:
         raise ValueError("no text")
     try:
         return _DECODER.decode(text)
     except RecursionError:
-        raise ValueError("nested beyond what can be read") from None
+        return _deeply_parsed(text)
 
 
-def held(value, depth: int = 3):
-    """What a value holds: JSON text counts as its content, other values as themselves."""
-    while depth and type(value) is str and value.lstrip()[:1] in ("{", "[", '"'):
+def held(value):
+    """What a value holds: JSON text counts as its content, however often it is wrapped, other values as themselves."""
+    while type(value) is str and value.lstrip()[:1] in ("{", "[", '"'):
         try:
-            value, depth = parse(value), depth - 1
+            value = parse(value)
         except ValueError:
             break
     return value
@@ -239,8 +299,9 @@ def parent_label(dewey: Column, levels: int = 1) -> Column:
 
 
 def label_text(dewey: Column) -> Column:
-    """A label as text that sorts as the document does: 6 digits a level."""
-    return F.array_join(F.transform(dewey, lambda x: F.lpad(x.cast("string"), 6, "0")), ".")
+    """A label as text that sorts as the document does: a letter for each ordinal's number of digits goes before it, so none is cut or padded."""
+    digits = lambda x: F.chr(F.length(x.cast("string")) + 96)
+    return F.array_join(F.transform(dewey, lambda x: F.concat(digits(x), x.cast("string"))), ".")
 
 
 def node_table(nodes: DataFrame, path: str, keep: Sequence[str], columns: Mapping[str, str]) -> DataFrame:

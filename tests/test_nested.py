@@ -86,3 +86,45 @@ def test_labels_lead_back_to_the_objects(value):
 def test_bare_path_of_first_contestant():
     rows = list(shred(payload([{"match": {"firstContestant": '"Quoted"'}}]), Shape((FIRST,), AGENDA.lists, AGENDA.bare)))
     assert rows[0][2] == [("popularName", "Quoted")]
+
+
+def test_json_text_wrapped_any_number_of_times(spark):
+    one = payload([{"match": {"firstContestant": {"popularName": "A"}}}])
+    value = {"match": {"liveWatchSources": [{"name": "T"}]}}
+    for _ in range(7):
+        one, value = json.dumps(one), json.dumps(value)
+    assert children(spark, [one, payload([value])]) == [(0, 0, "first_contestant", 0, "A"), (1, 0, "watch_source", 0, "T")]
+
+
+def test_payload_nested_beyond_the_usual_parser(spark):
+    deep = '{"x": ' + "[" * 200_000 + "1" + "]" * 200_000 + ', "scheduleTeam": {"teamAgenda": {"future": [null, {"editorialData": {"url": "u"}}]}}}'
+    assert children(spark, [deep, deep[:-1]]) == [(0, 1, "editorial", 0, "u")]
+
+
+@given(json_values, st.integers(0, 4))
+def test_the_deep_parser_reads_what_the_usual_one_does(value, cut):
+    from peneira.operators.nested import _deeply_parsed
+
+    text = json.dumps(value, indent=1 if cut % 2 else None)
+    text = text[: len(text) - cut]
+    try:
+        expected = parse(text)
+    except ValueError:
+        expected = ValueError
+    try:
+        got = _deeply_parsed(text)
+    except ValueError:
+        got = ValueError
+    assert got == expected
+
+
+def test_labels_of_large_ordinals_differ_and_sort_as_numbers(spark):
+    labels = [[3], [3, 7], [3, 10], [3, 123_456], [3, 999_999], [3, 1_000_000], [3, 1_234_567], [3, 2_147_483_647], [4], [20]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(labels)], "k int, dewey array<int>")
+    from pyspark.sql import functions as F
+
+    from peneira.operators.nested import label_text, parent_label
+
+    rows = df.select("k", label_text(F.col("dewey")).alias("t"), label_text(parent_label(F.col("dewey"))).alias("p")).collect()
+    assert [r.k for r in sorted(rows, key=lambda r: r.t)] == list(range(len(labels))) and len({r.t for r in rows}) == len(labels)
+    assert {r.p for r in rows if len(labels[r.k]) == 2} == {next(r.t for r in rows if r.k == 0)}
