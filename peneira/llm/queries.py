@@ -66,7 +66,12 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "words", "repeated_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_kept, p5_found, p6_found, p7_mixture, p7_shares, p8_found, p8_repetition)}
+def p8_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's nearest language, its divergences from that language's references, and whether it is to be counted."""
+    return repetition.document_divergence(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_kept, p5_found, p6_found, p7_mixture, p7_shares, p8_found, p8_repetition, p8_divergence)}
 
 _TERM = "nullif(trim(replace(replace(lower(strip_accents(nfc_normalize({0}))), chr(160), ' '), chr(65279), ' '), e' \\t\\r\\n'), '')"
 _TERM_CTE = f"""
