@@ -1,55 +1,63 @@
 """Pages that are template residue, filler or an error message instead of content.
 
-Evidence, all of it as column expressions on the page's own row but for one small count:
+Three kinds of evidence are combined, each page's own read in one pass where it is read:
 
 * placeholders that were never filled, in the title or the cleaned text;
-* what a page says itself: its sentences without site furniture (navigation, footer),
-  teasers and its headline. The headline is found by comparing the terms of the address
-  slug and the title with each sentence's terms;
-* notices: sentences that fail, refuse, demand scripts or a check, announce or fill in;
-* duplication: a sentence of low-information pages that stands on several different
-  pages is a served response and not content; so is a whole text of any length that
-  stands under several different titles or address slugs. Single sentences don't count on
-  longer pages: reports of different matches share some.
-
-A page of any length is residue if it has a placeholder, or if notices, known or
-duplicated, are all that it says but for a few words. A page with content of its own that mentions or carries a notice is not.
+* mismatch: the terms of the address slug, the title and the body are compared. The
+  subject is what slug and title say; where they share no term, the address decides, as a
+  message brings its own title. A page whose body, beside its headline, has no term of its
+  subject is mismatched: it doesn't speak of what it was asked for;
+* duplication over hosts: mismatched pages that say only what other mismatched pages say,
+  too, are of low information. What these share is a served response if it stands mostly
+  on them, and under two subjects on two hosts, or under three. Shares and independent
+  witnesses decide, not the size of the corpus or of the page. One text taken over by
+  several hosts has one subject and is none.
+
+A page of any length is residue if it has a placeholder; if it is mismatched and all its
+sentences are served responses; or if a detector of notices (failures, refusals, demands
+for scripts, announcements, filler) knows all that it says but for a few words. A page
+with content of its own that mentions or carries a notice is not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peneira.functions.text import fold
+from peneira.functions.pytext import fold
+from peneira.llm.repetition import COMMON_WORDS
 from peneira.session import durable
 
-# Placeholder notations of template languages, and values that programs print as missing.
+# Placeholder notations of template languages, and values that programs print as missing. Words that follow None or null in English
+# prose, or come before undefined, are no missing value.
 PLACEHOLDERS = (
-    r"\{\{[^{}]{0,80}\}\}",
-    r"\{%[^%]{0,80}%\}",
-    r"<%[^%]{0,80}%>",
-    r"[$#]\{[^{}]{1,60}\}",
-    r"\$\[[A-Za-z_.]{1,60}\]",
-    r"\[\[[^\[\]]{1,60}\]\]",
-    r"\{ ?[A-Za-z_][A-Za-z0-9_.]{0,60} ?\}",
-    r"%\([A-Za-z_]\w{0,60}\)[sdif]",
+    r"\{\{[^{}]*\}\}",
+    r"\{%[^%]*%\}",
+    r"<%[^%]*%>",
+    r"[$#]\{[^{}]+\}",
+    r"\$\[[A-Za-z_.]+\]",
+    r"\[\[[^\[\]]+\]\]",
+    r"\{ ?[A-Za-z_][A-Za-z0-9_.]* ?\}",
+    r"%\([A-Za-z_]\w*\)[sdif]",
     r"(?<![\w%])%[sd](?!\w)",
-    r"(?<!\w)%[A-Z][A-Z0-9_]{1,60}%(?!\w)",
-    r"@@\w{1,60}@@",
-    r"(?<!\w)__[A-Za-z]\w{0,60}__(?!\w)",
+    r"(?<!\w)%[A-Z][A-Z0-9_]+%(?!\w)",
+    r"@@\w+@@",
+    r"(?<!\w)__[A-Za-z](?:[^\W_]|_(?!_))*__(?!\w)",
     r"\b[A-Z0-9]+(?:_[A-Z0-9]+)*_PLACEHOLDER\b",
-    r"(?:<|&lt;)[A-Z][A-Z0-9_ ]{1,60}(?:>|&gt;)",
-    r"\[(?:INSERIR|INSERIR AQUI|INSERT|INSERTAR|PREENCHER|TODO)\b[^\[\]]{0,60}\]",
+    r"(?:<|&lt;)[A-Z][A-Z0-9_ ]+(?:>|&gt;)",
+    r"\[(?:INSERIR|INSERIR AQUI|INSERT|INSERTAR|PREENCHER|TODO)\b[^\[\]]*\]",
     r"\[object Object\]",
     r"(?<![\w\"“'])NaN(?!\w)",
-    r"(?<!\w)null(?!\w)(?! and void)",
-    r"(?<!\w)undefined(?!\w)(?<!(?:remains|remain|remained|is|are|was|were|left|still|be) undefined)",
-    r"(?<!\w)None(?!\w)(?! of)(?=$|[^\w ]| [xv–-] | vence)",
+    r"(?<!\w)null(?!\w)(?! (?:and void|hypothesis|result|set|string|value)\b)",
+    r"(?<!\w)undefined(?!\w)" + "".join(f"(?<!{w} undefined)" for w in ("remains", "remain", "remained", "is", "are", "was", "were", "left", "still", "be")),
+    r"(?<!\w)None(?!\w)(?! (?:of|are|is|was|were|has|have|had|do|does|did|can|could|will|would|should|may|might|the|in|on|at|for|to|that|who|but|too|so|other|more|less|came|went|played|scored|took|made|left|found)\b)",
 )
 
 # The labels of navigation, taglines and footers, folded.
@@ -61,59 +69,54 @@ FURNITURE = (
 )
 FOOTER = (*FURNITURE[:8], "anuncie", "cookies")
 TEASERS = ("mais lidas", "leia tambem", "veja tambem", "veja as mais lidas", "leia mais")
-_ACCENTED = {"a": "aáàâãä", "c": "cç", "e": "eéèêë", "i": "iíìîï", "n": "nñ", "o": "oóòôõö", "u": "uúùûü", " ": " \u00a0\t"}
 
 
-def _any_accent(labels: Iterable[str]) -> str:
-    """A pattern for folded labels in text that isn't folded: folding a text costs more than all else here, and few need it."""
-    letter = lambda x: (f"[{_ACCENTED[x]}]" + ("[\u0300-\u036f]?" if x != " " else "")) if x in _ACCENTED else x
-    return "(?:" + "|".join("".join(map(letter, label)) for label in labels) + ")"
+_BAR = r"[\s\ufeff|•·]*"
+#: A run of labels at the start of a page; at its end with the copyright line, matched backwards; a list of other pages.
+_NAVIGATION = re.compile(rf"{_BAR}(?:(?:{'|'.join(map(re.escape, FURNITURE))})(?![^\W_]){_BAR})++")
+_FOOTER = re.compile(rf"{_BAR}(?:(?:(?:{'|'.join(re.escape(x[::-1]) for x in FOOTER)})(?![^\W_])|[\w.-]++ ?©){_BAR})++")
+_TEASER = re.compile(rf"(?:^|[\n.!?] *)(?:{'|'.join(TEASERS)})\b[^\n]*")
 
-
-_BAR = r"[\s\u00a0\ufeff|•·]*"
-#: A run of labels at the start of a page, and at its end with the copyright line; a list of other pages.
-_NAVIGATION = rf"(?iu)^{_BAR}(?:{_any_accent(FURNITURE)}(?![\p{{L}}\p{{N}}]){_BAR})++"
-_FOOTER = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?=[tfmpac©])(?:(?:{_any_accent(FOOTER)}|© ?[\w.-]++){_BAR})++$"
-_TEASER = rf"(?iu)(?:^|[\r\n.!?] *){_any_accent(TEASERS)}\b[^\r\n]*"
-
-# What notices say, folded. Each stands for a kind of message in Portuguese, Spanish and English.
+# What notices say, folded. Each stands for a kind of message in Portuguese, Spanish and English, after the beginnings of words of which it
+# needs one: a sentence that has none of them isn't searched for it. '#' stands for a figure of 400 to 599, '^' for the marks of a stack trace.
 NOTICES = (
     # demands for scripts, cookies or a browser check
-    r"(?:ative|habilite|active|habilita|activa|permita|enable|turn|requer|requires?|precisa|necesita|need|without|sem)\b[^.!?]{0,60}\b(?:javascript|scripts?|cookies)\b",
-    r"\b(?:javascript|scripts?|cookies)\b[^.!?]{0,40}\b(?:desligad|desativad|desabilitad|disabled|bloquead|required|necessari|on and reload)",
-    r"\b(?:bloqueador de anuncios|ad ?blocker)\b",
-    r"\bchecking your browser\b|\bverificando (?:o )?seu navegador\b|\bjust a moment\b",
-    r"\b(?:nao e|not|no (?:eres|es)) (?:um |a |un )?robo?t?o?\b|\bcaptcha\b",
-    r"\b(?:ligar|ativar|habilitar) (?:o javascript )?nas configuracoes\b",
-    r"\bcarregando\b|\bloading\b|\bcargando\b|\brecarregue\b",
+    ("java scri cook", r"(?:ative|habilite|active|habilita|activa|permita|enable|turn|requer|requires?|precisa|necesita|need|without|sem)\b[^.!?]{0,60}\b(?:javascript|scripts?|cookies)\b"),
+    ("java scri cook", r"\b(?:javascript|scripts?|cookies)\b[^.!?]{0,40}\b(?:desligad|desativad|desabilitad|disabled|bloquead|required|necessari|on and reload)"),
+    ("bloq adbl bloc", r"\b(?:bloqueador de anuncios|ad ?blocker)\b"),
+    ("chec veri mome", r"\bchecking your browser\b|\bverificando (?:o )?seu navegador\b|\bjust a moment\b"),
+    ("rob capt", r"\b(?:nao e|not|no (?:eres|es)) (?:um |a |un )?robo?t?o?\b|\bcaptcha\b"),
+    ("conf", r"\b(?:ligar|ativar|habilitar) (?:o javascript )?nas configuracoes\b"),
+    ("carr load carg reca", r"\bcarregando\b|\bloading\b|\bcargando\b|\brecarregue\b"),
     # failures
-    r"\b(?:erro|error|http|gateway time-?out|status) ?\(?[45]\d\d\b",
-    r"\b[45]\d\d\)? ?[-–:] ?\w|\bbad gateway\b|\bgateway time-?out\b|\bupstream\b|\binternal server error\b",
-    r"\b(?:pagina|page|noticia|materia|conteudo|link|endereco|url)\b[^.!?]{0,40}\b(?:nao encontrad|not found|nao existe|ya no existe|no longer|saiu do ar|foi movid|foi removid|removido|isn'?t available|nao leva)",
-    r"\b(?:not found|nao achamos o que|nao foi possivel carregar|no se encontr)\b",
-    r"\b(?:removido|removida) a pedido\b",
-    r"\bsomething went wrong\b|\balgo deu errado\b|\balgo salio mal\b|\bfatal error\b|\bwarning: \w+|\bstack trace\b|\bfalha interna\b|\bconnection refused\b",
-    r"\b(?:temporariamente|temporarily) (?:indisponivel|unavailable)\b|\bservico indisponivel\b|\bservice unavailable\b",
-    r"\bmuitas requisicoes\b|\btoo many requests\b|\baguarde \d+ segundos\b",
-    r"\b(?:request|ray|protocolo|incident) ?(?:id)? ?:? ?#?[0-9a-f]{5,}",
-    r"\bnenhum resultado para\b|\btente (?:novamente|mais tarde)\b|\btry again\b|\bequipe ja foi avisada\b|\blink may be broken\b|\bgo back home\b|\bvolt(?:ar|e) (?:para a capa|ao comeco)\b|\buse a busca\b|\bmudado de lugar\b|\bcancelada do sistema\b",
-    r"\bmanutencao (?:programada|ate)\b|\bem manutencao\b|\bunder maintenance\b",
+    ("erro http gate stat", r"\b(?:erro|error|http|gateway time-?out|status) ?\(?[45]\d\d\b"),
+    ("# gate upst inte", r"\b[45]\d\d\)? ?[-–:] ?\w|\bbad gateway\b|\bgateway time-?out\b|\bupstream\b|\binternal server error\b"),
+    ("enco foun exis long saiu movi remo avai leva", r"\b(?:pagina|page|noticia|materia|conteudo|link|endereco|url)\b[^.!?]{0,40}\b(?:nao encontrad|not found|nao existe|ya no existe|no longer|saiu do ar|foi movid|foi removid|removido|isn'?t available|nao leva)"),
+    ("foun acha poss enco", r"\b(?:not found|nao achamos o que|nao foi possivel carregar|no se encontr)\b"),
+    ("remo", r"\b(?:removido|removida) a pedido\b"),
+    ("some algo fata warn stac falh conn", r"\bsomething went wrong\b|\balgo deu errado\b|\balgo salio mal\b|\bfatal error\b|\bwarning: \w+|\bstack trace\b|\bfalha interna\b|\bconnection refused\b"),
+    ("temp serv", r"\b(?:temporariamente|temporarily) (?:indisponivel|unavailable)\b|\bservico indisponivel\b|\bservice unavailable\b"),
+    ("requ agua", r"\bmuitas requisicoes\b|\btoo many requests\b|\baguarde \d+ segundos\b"),
+    ("requ ray prot inci", r"\b(?:request|ray|protocolo|incident) ?(?:id)? ?:? ?#?[0-9a-f]{5,}"),
+    ("resu tent agai avis brok back volt busc muda canc", r"\bnenhum resultado para\b|\btente (?:novamente|mais tarde)\b|\btry again\b|\bequipe ja foi avisada\b|\blink may be broken\b|\bgo back home\b|\bvolt(?:ar|e) (?:para a capa|ao comeco)\b|\buse a busca\b|\bmudado de lugar\b|\bcancelada do sistema\b"),
+    ("manu main", r"\bmanutencao (?:programada|ate)\b|\bem manutencao\b|\bunder maintenance\b"),
     # refusals
-    r"\b(?:acesso|access|acceso) (?:negado|denied|denegado)\b|\bendereco foi bloqueado\b|\bforbidden\b",
-    r"\bsessao (?:terminou|expirou)\b|\bsession (?:has )?expired\b|\bentre de novo\b",
+    ("aces acce bloq forb", r"\b(?:acesso|access|acceso) (?:negado|denied|denegado)\b|\bendereco foi bloqueado\b|\bforbidden\b"),
+    ("sess entr", r"\bsessao (?:terminou|expirou)\b|\bsession (?:has )?expired\b|\bentre de novo\b"),
     # announcements of content to come
-    r"\b(?:conteudo|pagina|materia|noticia|contenido|content) em (?:breve|construcao)\b|\bem breve\b|\bem construcao\b|\bunder construction\b|\bcoming soon\b|\bproximamente\b|\bvolte depois\b",
+    ("brev cons comi prox volt", r"\b(?:conteudo|pagina|materia|noticia|contenido|content) em (?:breve|construcao)\b|\bem breve\b|\bem construcao\b|\bunder construction\b|\bcoming soon\b|\bproximamente\b|\bvolte depois\b"),
     # filler
-    r"\blorem\b|\bipsum\b|\bdolor (?:sit|ludum)\b",
-    r"\b(?:bla )+bla\b|\bx{3,}(?: x{3,})+|\basdf\b|\bqwer(?:ty)?\b|\bteste(?: teste)+\b|\bteste \d+ teste\b",
-    r"\b(?:texto|paragrafo|pagina) de (?:exemplo|teste)\b|\bsample (?:page|text)\b|\bplaceholder text\b|\byour (?:content|text) goes here\b|\b(?:vai|va) aqui\b|\baqui vai\b|\binsira aqui\b|\binserte aqui\b",
-    r"\b(?:nao tem|sem|no tiene|don'?t have) (?:permiss|permis)|\b(?:nao autorizad|unauthorized|not authorized)",
+    ("lore ipsu dolo", r"\blorem\b|\bipsum\b|\bdolor sit\b"),
+    ("bla xxx asdf qwer test", r"\b(?:bla )+bla\b|\bx{3,}(?: x{3,})+|\basdf\b|\bqwer(?:ty)?\b|\bteste(?: teste)+\b|\bteste \d+ teste\b"),
+    ("exem test samp plac goes aqui", r"\b(?:texto|paragrafo|pagina) de (?:exemplo|teste)\b|\bsample (?:page|text)\b|\bplaceholder text\b|\byour (?:content|text) goes here\b|\b(?:vai|va) aqui\b|\baqui vai\b|\binsira aqui\b|\binserte aqui\b"),
+    ("perm auto unau", r"\b(?:nao tem|sem|no tiene|don'?t have) (?:permiss|permis)|\b(?:nao autorizad|unauthorized|not authorized)"),
     # the lines of a stack trace
-    r"^at [\w$.<>/]+ ?\(|^file \"[^\"]+\", line \d+|^#\d+ (?:/|\{main\}|\[internal)|^traceback \(most recent|^caused by: [\w.$]+|^\.\.\. \d+ more\b",
-    r"\buncaught \w*(?:exception|error)\b|^(?:exception in thread .*|(?:[\w$]+\.)*\w*(?:exception|error)(?::.*|$))|\bin /[\w./-]+(?: on line |:)\d+",
-    r"\bsubstitua este\b|\bedit or delete it\b|\btrocar antes de publicar\b|\blegenda provisoria\b|\breplace this\b",
+    ("^ trac caus more", r"^at [\w$.<>/]+ ?\(|^file \"[^\"]+\", line \d+|^#\d+ (?:/|\{main\}|\[internal)|^traceback \(most recent|^caused by: [\w.$]+|^\.\.\. \d+ more\b"),
+    ("^ unca", r"\buncaught \w*(?:exception|error)\b|^(?:exception in thread .*|(?:[\w$]+\.)*\w*(?:exception|error)(?::.*|$))|\bin /[\w./-]+(?: on line |:)\d+"),
+    ("subs dele publ prov repl", r"\bsubstitua este\b|\bedit or delete it\b|\btrocar antes de publicar\b|\blegenda provisoria\b|\breplace this\b"),
 )
-NOTICE = "(?:" + "|".join(NOTICES) + ")"
+_NOTICES = tuple(re.compile(p) for _, p in NOTICES)
+_NEEDED = {b: tuple(k for k, (bs, _) in enumerate(NOTICES) if b in bs.split()) for bs, _ in NOTICES for b in bs.split()}
 
 # The words of the usual filler, of three and more letters. A sentence mostly of these is filler, too.
 FILLER = (
@@ -122,18 +125,19 @@ FILLER = (
     "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim est laborum"
 ).split()
 
-#: Words beside its notices that a page may have and still say nothing: the rest of a message, a button.
-REST_WORDS = 14
-#: A page that says no more words than this itself is of low information.
-LOW_WORDS = 60
-#: A sentence on so many different pages, all of low information, or a text under so many subjects, is a served response.
-SAME_PAGES = 4
-#: Words of a page, beside its headline, up to which its sentences are looked up one by one; beyond, its whole text is.
-SERVED_WORDS = 20
+_FILLER = frozenset(FILLER)
+# What the subject of a page can't be told by.
+_FUNCTION_WORDS = frozenset(w for _, words in COMMON_WORDS.values() for w in words.split())
 
+#: Words beside its notices that a page may have and still say nothing: the rest of a message, a button; or a fifth of all its words.
+REST_WORDS = 14
+REST_SHARE = 5
+#: A served response stands under so many subjects, or under one less on two hosts, and at least half of its subjects are mismatched.
+SUBJECTS = 3
 
 #: Every placeholder holds one of these; a text that holds none needs no pattern.
 _TRIGGERS = ("{", "%", "<", "&lt;", "[", "@@", "__", "_PLACEHOLDER", "NaN", "null", "undefined", "None")
+_PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
 
 
 def has_placeholder(c: Column) -> Column:
@@ -142,103 +146,157 @@ def has_placeholder(c: Column) -> Column:
     return F.coalesce(F.when(may, c.rlike("|".join(PLACEHOLDERS))), F.lit(False))
 
 
-def once(**columns: Column) -> Column:
-    """A struct column that is computed once a row, however often its fields are used below: filters aren't pushed through a generator."""
-    return F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
-
-
-def terms(c: Column) -> Column:
-    """The folded terms of three and more letters or digits of a text, as an array."""
-    return F.array_distinct(F.regexp_extract_all(fold(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-
-
-def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
-
-
-def own_text(text: Column) -> Column:
-    """The text without navigation at its start, footer at its end and teasers; lines are kept."""
-    t = F.regexp_replace(text, _NAVIGATION, "")
-    t = F.regexp_replace(t, _FOOTER, "")
-    return F.regexp_replace(t, _TEASER, "\n")
-
-
-def page_evidence(docs: DataFrame) -> DataFrame:
-    """One row for each page: doc_id, site, url, placeholder, notice and rest (words of notices, and beside these and the headline), pieces, body, subject.
-
-    Sentences are read until rest exceeds SERVED_WORDS, as the page is no case by its notices then. pieces: the sentences of pages that say little,
-    each with its key and whether it is the headline or a notice. body: a digest of all sentences but the headline. subject: a digest of the address
-    slug and the title. Null title, url or text count as empty. Other columns are not read. The rows are small and written once, as several steps read them.
+def holds_placeholder(text: str | None) -> bool:
+    return bool(text) and any(t in text for t in _TRIGGERS) and _PLACEHOLDER.search(text) is not None
+
+
+_SENTENCE = re.compile(r"(?<=[.!?…])[ \t]+|\n")
+_PLACE = re.compile(r'(file "[^"\n]+", line \d+[^\n]*)\n')
+_WORD = re.compile(r"[^\W_]+")
+_SLUG = re.compile(r"://[^/]+/(?:[^?#]*/)?([^/?#]+)")
+
+def own_text(folded: str) -> str:
+    """A folded text without navigation at its start, footer at its end and teasers; lines are kept."""
+    if m := _NAVIGATION.match(folded):
+        folded = folded[m.end() :]
+    if m := _FOOTER.match(folded[::-1]):
+        folded = folded[: len(folded) - m.end()]
+    if any(t in folded for t in TEASERS):
+        folded = _TEASER.sub("\n", folded)
+    return folded
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences and lines that a page says itself, folded."""
+    folded = fold(text).replace("\r\n", "\n").replace("\r", "\n").replace("\u00a0", " ").replace("\ufeff", " ")
+    own = own_text(folded)
+    if 'file "' in own:
+        own = _PLACE.sub(r"\1 ", own)  # a stack trace's line of code belongs to its place
+    return [s for s in map(str.strip, _SENTENCE.split(own)) if s]
+
+
+def _subject_terms(words: Iterable[str]) -> set[str]:
+    return {w for w in words if len(w) >= 3 and w not in _FUNCTION_WORDS and not w.isdigit()}
+
+
+def is_notice(s: str, words: list[str] | None = None) -> bool:
+    """Whether a folded sentence is a notice or filler."""
+    words = _WORD.findall(s) if words is None else words
+    may: set[int] = set()
+    for w in words:
+        if len(w) == 3 and w[0] in "45" and w.isdigit():
+            may.update(_NEEDED["#"])
+        may.update(_NEEDED.get(w[:4], ()))
+        may.update(_NEEDED.get(w[:3], ()))
+    if s.startswith(("at ", 'file "', "#", "...")) or "in /" in s or "exception" in s or "error" in s:
+        may.update(_NEEDED["^"])
+    if any(_NOTICES[k].search(s) for k in may):
+        return True
+    own = {w for w in words if len(w) >= 3}
+    return len(own) >= 3 and len(own & _FILLER) * 5 >= len(own) * 3
+
+
+def _digest(words: Iterable[str], *more: str) -> int:
+    """64 bits of the words, those with figures masked."""
+    x = xxhash.xxh3_64_intdigest("\n".join((" ".join([w if w.isalpha() else "9" for w in words]), *more)))
+    return x - 2**64 if x >= 2**63 else x
+
+
+def page_evidence(url: str | None, title: str | None, text: str | None) -> tuple[bool, bool, int, list[int]]:
+    """Of one page: whether notices are all that it says, whether it is mismatched, a digest of its subject, and those of its sentences but the headline."""
+    in_slug = _WORD.findall(fold(m[1])) if (m := _SLUG.search(url or "")) else []
+    in_title = _WORD.findall(fold(title or ""))
+    slug, named = _subject_terms(in_slug), _subject_terms(in_title)
+    subject = slug if slug and not slug & named else slug | named
+    head = slug | named | set(in_title)
+    headlines, body, speaks = [], [], False
+    for s in sentences(text or ""):
+        words = _WORD.findall(s)
+        own = {w for w in words if len(w) >= 3}
+        if len(own) >= 2 and len(own & head) * 5 >= len(own) * 3:
+            headlines.append((s, words))
+        else:
+            body.append((len(words), s, words))
+            speaks = speaks or not subject.isdisjoint(own)
+    # The longest first: a page with content shows it soonest there.
+    bound = max(REST_WORDS, sum(b[0] for b in body) // REST_SHARE)
+    rest, notices = 0, False
+    for n, s, words in sorted(body, reverse=True):
+        if is_notice(s, words):
+            notices = True
+        else:
+            rest += n
+            if rest > bound:
+                break
+    known = rest <= bound and (notices or any(is_notice(*h) for h in headlines))
+    keys = {_digest(words) for _, _, words in body}
+    return known, not speaks, _digest(in_slug, title or ""), sorted(keys)
+
+
+EVIDENCE = "doc_id bigint, site string, placeholder boolean, known boolean, mismatched boolean, subject bigint, keys array<bigint>"
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """One row a page: doc_id, site, placeholder, known, mismatched, subject and keys, as page_evidence tells. Null columns count as empty.
+
+    Digests have 64 bits. Runs in the scan's tasks; the rows are small and written once, as several steps read them.
     """
-    text = F.coalesce("text", "cleaned_text", F.lit(""))
-    title, placeholder = F.coalesce("title", F.lit("")), has_placeholder(F.col("title")) | has_placeholder(F.col("cleaned_text"))
-    slug = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^/]+/(?:.*/)?([^/?#]+)", 1)
-    head = F.array_union(terms(F.regexp_replace(slug, "-", " ")), terms(title))
-    subject = F.md5(F.concat_ws("\n", F.regexp_replace(slug, r"\d+", "9"), title))
-    folded = fold(F.regexp_replace(F.regexp_replace(own_text(text), "[\u00a0\ufeff]", " "), "\r\n?", "\n"))
-    folded = F.regexp_replace(folded, r'(file "[^"\n]+", line \d+[^\n]*)\n', "$1 ")  # a stack trace's line of code belongs to its place
-    sentences = F.filter(F.split(F.trim(folded), r"(?<=[.!?…])\s+|\s*\n\s*"), lambda s: F.length(s) > 0)
-    filler_words = F.array(*(F.lit(w) for w in FILLER))
-
-    def mostly(s: Column, words: Column) -> Column:
-        own = F.array_distinct(F.regexp_extract_all(s, F.lit("[a-z0-9]{3,}"), F.lit(0)))  # terms of what is folded already
-        bound = F.transform(F.array(own), lambda t: (F.size(t) >= 3) & (F.size(F.array_intersect(t, words)) * 5 >= F.size(t) * 3))
-        return F.get(bound, F.lit(0))
-
-    headline = lambda s: mostly(s, F.col("e.head"))
-    notice = lambda s: s.rlike(NOTICE) | mostly(s, filler_words)
-    masked = lambda s: F.regexp_replace(s, r"\b(?=\w*\d)[0-9a-f]{4,}\b|\d+", "9")
-
-    def step(a: Column, s: Column) -> Column:
-        kind = F.when(notice(s), "notice").when(headline(s), "headline").otherwise("rest")
-        added = lambda k: F.struct(*((a[f] + F.when(k == f, word_count(s)).otherwise(0)).alias(f) for f in ("notice", "rest")))
-        return F.when(a["rest"] > SERVED_WORDS, a).otherwise(F.get(F.transform(F.array(kind), added), F.lit(0)))
-
-    piece = lambda s: F.struct(masked(s).alias("key"), headline(s).alias("headline"), notice(s).alias("notice"))
-    page = docs.select("doc_id", "site", "url", once(placeholder=placeholder, head=head, subject=subject, sentences=sentences).alias("e"))
-    said = F.col("e.sentences")
-    tally = F.aggregate(said, F.struct(F.lit(0).alias("notice"), F.lit(0).alias("rest")), step)
-    words = F.aggregate(said, F.lit(0), lambda n, s: F.when(n > LOW_WORDS, n).otherwise(n + word_count(s)))
-    # The headline is looked for among the first two sentences.
-    body = F.md5(masked(F.array_join(F.filter(said, lambda s, pos: (pos > 1) | ~headline(s)), "\n")))
-    page = page.select("doc_id", "site", "url", "e", once(tally=tally, words=words, body=body).alias("w"))
-    low = (F.col("w.words") <= LOW_WORDS) | (F.col("w.tally.rest") <= SERVED_WORDS)
-    pieces = F.transform(F.when(low, said), piece).alias("pieces")
-    return durable(page.select("doc_id", "site", "url", "e.placeholder", "e.subject", "w.tally.notice", "w.tally.rest", "w.body", pieces))
-
-
-def served_sentences(evidence: DataFrame, same_pages: int = SAME_PAGES) -> DataFrame:
-    """The sentences that stand on at least so many different pages of low information.
-
-    Pages are told apart by address. Counted in steps, each combined before its shuffle, so no sentence gathers in one task.
+    source = docs.select(F.col("doc_id").cast("bigint"), "site", "url", "title", F.coalesce("text", "cleaned_text").alias("text"), "cleaned_text")
+    names = [c.split()[0] for c in EVIDENCE.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            placeholder, found = [], []
+            for url, title, text, cleaned in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+                title = title.as_py()
+                filled = not (holds_placeholder(title) or holds_placeholder(cleaned.as_py()))
+                placeholder.append(not filled)
+                found.append(page_evidence(url.as_py(), title, text.as_py()))
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(placeholder, pa.bool_()), *columns], names)
+
+    return durable(source.mapInArrow(run, EVIDENCE))
+
+
+def served_pages(pages: DataFrame, subjects: int = SUBJECTS) -> DataFrame:
+    """(doc_id) of the mismatched pages all of whose sentences are served responses, by the rows of evidence.
+
+    A sentence is shared if mismatched pages of so many subjects have it, or of one less on two hosts. A mismatched page of shared sentences alone is of
+    low information. A shared sentence is a served response if it has as many subjects on such pages, and these are half of all its subjects at least.
+    Counted in steps, each combined before its shuffle, so no sentence gathers in one task; pages that speak of their subject are looked up only for
+    what mismatched pages share.
     """
-    said = evidence.select("site", "url", F.explode("pieces").alias("p")).where("p.notice or not p.headline")
-    pages = said.groupBy(F.col("p.key").alias("key"), "site", "url").agg(F.lit(1).alias("one"))
-    return pages.groupBy("key").agg(F.count("*").alias("pages")).where(F.col("pages") >= same_pages)
-
-
-def served_bodies(evidence: DataFrame, same_pages: int = SAME_PAGES) -> DataFrame:
-    """The whole texts that stand under at least so many subjects; one report taken over by several sites has one."""
-    subjects = evidence.groupBy("body", "subject").agg(F.lit(1).alias("one"))
-    return subjects.groupBy("body").agg(F.count("*").alias("subjects")).where(F.col("subjects") >= same_pages).select("body")
-
-
-def residue(docs: DataFrame, rest_words: int = REST_WORDS, same_pages: int = SAME_PAGES) -> DataFrame:
-    """(doc_id, reason) of the pages that are residue; reason is 'placeholder', 'notice' or 'served'.
-
-    'notice': a known notice, and no more than rest_words words beside it and the headline. 'served': nothing beside the headline but sentences, or
-    a text of any length, that several pages were served. A page that says nothing at all is neither.
+    enough = lambda n, hosts: (n >= subjects) | ((n >= subjects - 1) & F.coalesce(hosts, F.lit(False)))
+    two_hosts = F.min("low") != F.max("high")
+    said = pages.select("doc_id", "site", "subject", "mismatched", F.explode("keys").alias("key"))
+    lost = said.where("mismatched")
+    by_subject = lost.groupBy("key", "subject").agg(F.min("site").alias("low"), F.max("site").alias("high"))
+    shared = by_subject.groupBy("key").agg(F.count("*").alias("n"), two_hosts.alias("hosts")).where(enough(F.col("n"), F.col("hosts"))).select("key")
+    shared = durable(shared)
+
+    def made_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        known = rows.join(keys.withColumn("known", F.lit(True)), "key", "left")
+        return known.groupBy("doc_id").agg(F.count_if(F.col("known").isNull()).alias("own")).where("own = 0").select("doc_id")
+
+    low = durable(made_of(lost, shared))
+    flagged = said.join(shared, "key", "left_semi").join(low.withColumn("is_low", F.lit(True)), "doc_id", "left")
+    where_low = lambda f: f(F.when(F.col("is_low"), F.col("site")))
+    by_subject = flagged.groupBy("key", "subject").agg(F.max("is_low").alias("is_low"), where_low(F.min).alias("low"), where_low(F.max).alias("high"))
+    counts = by_subject.groupBy("key").agg(F.count("*").alias("n"), F.count("is_low").alias("n_low"), two_hosts.alias("hosts"))
+    served = counts.where(enough(F.col("n_low"), F.col("hosts")) & (F.col("n_low") * 2 >= F.col("n"))).select("key")
+    return made_of(lost.join(low, "doc_id", "left_semi"), served)
+
+
+def residue(docs: DataFrame, subjects: int = SUBJECTS) -> DataFrame:
+    """(doc_id, reason) of the pages that are residue, each id once; reason is 'placeholder', 'served' or 'notice', the first that holds.
+
+    'served': mismatched, and all that it says are served responses. 'notice': a known notice, and no more than REST_WORDS words, or a fifth of its
+    words, beside such and the headline. A page that says nothing at all is neither.
     """
-    evidence = page_evidence(docs)
-    by_placeholder = evidence.where("placeholder").select("doc_id", F.lit("placeholder").alias("reason"))
-    other = evidence.where("not placeholder")
-    known = (F.col("notice") > 0) & (F.col("rest") <= rest_words)
-    by_notice = other.where(known).select("doc_id", F.lit("notice").alias("reason"))
-    # What the detectors don't know is decided by duplication.
-    little = (F.col("notice") == 0) & F.col("rest").between(1, SERVED_WORDS)
-    pieces = other.where(little).select("doc_id", F.explode("pieces").alias("p")).where("not p.headline").select("doc_id", F.col("p.key").alias("key"))
-    joined = pieces.join(served_sentences(evidence, same_pages).select("key", F.lit(True).alias("served")), "key", "left")
-    by_service = joined.groupBy("doc_id").agg(F.count_if(F.col("served").isNull()).alias("own")).where("own = 0").select("doc_id", F.lit("served").alias("reason"))
-    more = other.where(~known & ~little & (F.col("rest") > 0))
-    by_body = more.join(served_bodies(evidence, same_pages), "body", "left_semi").select("doc_id", F.lit("served").alias("reason"))
-    return by_placeholder.unionByName(by_notice).unionByName(by_service).unionByName(by_body)
+    pages = evidence(docs)
+    other = pages.where("not placeholder")
+    by_service = served_pages(other, subjects)
+    found = pages.where("placeholder").select("doc_id", F.lit(0).alias("rank"))
+    found = found.unionByName(by_service.select("doc_id", F.lit(1).alias("rank"))).unionByName(other.where("known").select("doc_id", F.lit(2).alias("rank")))
+    reasons = F.array(*(F.lit(r) for r in ("placeholder", "served", "notice")))
+    return found.groupBy("doc_id").agg(F.min("rank").alias("rank")).select("doc_id", F.get(reasons, F.col("rank")).alias("reason"))
