@@ -1,14 +1,17 @@
-"""Portuguese stemming as SQL steps: the published Snowball algorithm on tokens without accents.
+"""Portuguese stemming: the published Snowball algorithm on tokens without accents.
 
-Rules that need an accented letter cannot apply to folded tokens and are left out. The
-steps are plain SQL that Spark and DuckDB share; they run on a vocabulary of distinct
-tokens, not on every occurrence.
+Rules that need an accented letter cannot apply to folded tokens and are left out. Spark
+runs `pystem.stem` on Arrow batches; the SQL steps are a second statement of the algorithm,
+by which the first is checked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _V, _C = "[aeiou]", "[^aeiou]"
 #: A region's start is the length of what comes before it.
@@ -88,12 +91,19 @@ def steps() -> list[dict[str, str]]:
 
 
 def stems(vocabulary: DataFrame) -> DataFrame:
-    """vocabulary (column token, among others) with the column stem."""
-    out = vocabulary
-    for step in steps():
-        out = out.selectExpr("*", *(f"{expr} as {name}" for name, expr in step.items()))
-    # Behind a generator, conditions on the stem are not pushed into the steps: written out, they would grow with each.
-    return out.select(*vocabulary.columns, F.explode(F.array("stem")).alias("stem"))
+    """vocabulary (column token, among others) with the column stem; a null token has none."""
+    from peneira.functions.pystem import stem
+
+    columns = vocabulary.columns
+    schema = T.StructType([*vocabulary.schema.fields, T.StructField("stem", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index("token")
+        for batch in batches:
+            found = [None if t is None else stem(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*columns, "stem"])
+
+    return vocabulary.mapInArrow(run, schema)
 
 
 def duckdb_ctes(vocabulary: str) -> str:

@@ -103,12 +103,11 @@ def without_stopwords(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*STOPWORDS))
 
 
-def lexical_summary(all_tokens: Column, top_terms: int = 12) -> Column:
-    """Counts of a document's tokens: a struct of token_count, unique_token_count, stopword_count, average_token_length, lexical_density.
+def lexical_summary(all_tokens: Column, kept: Column) -> Column:
+    """Counts of a document's tokens, all and without stopwords: a struct of token_count, unique_token_count, stopword_count, average_token_length, lexical_density.
 
     Without tokens all are 0.
     """
-    kept = without_stopwords(all_tokens)
     n, everything = F.size(kept), F.size(all_tokens)
     letters = F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t))
     return F.struct(

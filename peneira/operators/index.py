@@ -1,16 +1,23 @@
 """Index build: deduplication, truncation, chunking, postings and statistics, as ordinary tables.
 
-Tokens never travel further than they must: a document's tokens stay an array on its row
-until postings are counted, and those are counted per chunk on the row's own task before
-the first shuffle. Stems are computed for the distinct vocabulary and joined to counts.
+Tokens never travel: a document's text is analyzed once, its tokens stay an array on its
+row, and what belongs to the document (postings of its chunks, its top terms, its stem
+counts) is counted there, without a shuffle. Only numbers over documents are shuffled, by
+term, one row a document and term at most.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peneira.config import Config
+from peneira.functions.pystem import stem
 from peneira.functions.stemmer import stems
 from peneira.functions.text import index_tokens, lexical_summary, without_stopwords
 
@@ -18,50 +25,89 @@ from peneira.functions.text import index_tokens, lexical_summary, without_stopwo
 def first_of_hash(docs: DataFrame, hash_column: str, id_column: str, order_by: str) -> DataFrame:
     """The rows that came first of each content hash; rows without hash are left out, ties go to the smallest id.
 
-    The winners are found from three small columns with combining before the shuffle, so a hash of many copies costs
-    its tasks one row each; texts are joined to the winners only.
+    Only the hashes of several rows, found from three small columns with combining before the shuffle, are joined to the documents: a small table that
+    the planner broadcasts while its size allows, so texts aren't shuffled.
     """
-    first = docs.where(F.col(hash_column).isNotNull()).groupBy(hash_column).agg(F.min(F.struct(F.col(order_by), F.col(id_column))).alias("w"))
-    winners = first.select(F.col(f"w.{id_column}").alias(id_column))
-    return docs.join(winners, id_column, "left_semi")
+    known = docs.where(F.col(hash_column).isNotNull())
+    first = known.groupBy(hash_column).agg(F.count("*").alias("__n"), F.min(F.struct(F.col(order_by), F.col(id_column))).alias("__w")).where("__n > 1")
+    winners = first.select(hash_column, F.col(f"__w.{id_column}").alias("__first"))
+    joined = known.join(winners, hash_column, "left")
+    return joined.where(F.col("__first").isNull() | (F.col("__first") == F.col(id_column))).select(*docs.columns)
+
+
+def _once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row: behind a generator they are not written out again in what uses them."""
+    struct = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return rows.select(*keep, F.explode(F.array(struct)).alias("__k")).select(*keep, *(F.col(f"__k.{name}").alias(name) for name in columns))
 
 
 def analyzed(docs: DataFrame, text: str = "cleaned_text", config: Config = Config()) -> DataFrame:
     """docs with kept (all tokens but stopwords), tokens (kept, truncated, for the index alone), truncated and lexical (counts before truncation); rows without tokens are left out."""
-    out = docs.withColumn("all_tokens", index_tokens(F.col(text), config.min_token_length))
-    kept = without_stopwords(F.col("all_tokens"))
-    out = out.withColumn("kept", kept).where(F.size("kept") > 0)
+    columns = docs.columns
+    out = _once(docs, columns, __all=index_tokens(F.col(text), config.min_token_length))
+    out = _once(out, [*columns, "__all"], kept=without_stopwords(F.col("__all"))).where(F.size("kept") > 0)
     limit = config.max_tokens or 2**31 - 1
     return out.select(
-        *docs.columns,
-        lexical_summary(F.col("all_tokens"), config.top_terms).alias("lexical"),
+        *columns,
+        lexical_summary(F.col("__all"), F.col("kept")).alias("lexical"),
         (F.size("kept") > limit).alias("truncated"),
         "kept",
-        F.slice("kept", 1, limit).alias("tokens"),
+        F.when(F.size("kept") > limit, F.slice("kept", 1, limit)).otherwise(F.col("kept")).alias("tokens"),
     )
 
 
+def _by_document(docs: DataFrame, doc_id: str, tokens: str, names: list[str], types: list[T.DataType], rows_of: Callable[[list[str]], Iterable[tuple]]) -> DataFrame:
+    """(doc_id, names) with the rows that a function gives for each document's tokens, made where the document is."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), tokens)
+    schema = T.StructType([source.schema[0], *(T.StructField(n, t) for n, t in zip(names, types, strict=True))])
+    arrow = [{T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}.get(t, pa.string()) for t in types]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                at: list[int] = []
+                columns: list[list] = [[] for _ in names]
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    for row in rows_of(t or []):
+                        at.append(i)
+                        for column, value in zip(columns, row, strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], ["doc_id", *names])
+
+    return source.mapInArrow(run, schema)
+
+
 def chunk_count(n: Column, size: Column | int) -> Column:
     """Chunks of so many tokens: at least one."""
     return F.greatest(F.lit(1), F.ceil(n / size)).cast("bigint")
 
 
-def token_counts(docs: DataFrame, doc_id: str, config: Config = Config()) -> DataFrame:
-    """(chunk_size, doc_id, chunk_id, token, tf) of analyzed documents."""
-    positions = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode("tokens").alias("pos", "token"))
-    sized = positions.select("doc_id", "pos", "token", F.explode(F.array(*(F.lit(s) for s in config.chunk_sizes))).alias("chunk_size"))
-    chunk = F.floor(F.col("pos") / F.col("chunk_size")).cast("int")
-    return sized.groupBy("chunk_size", "doc_id", chunk.alias("chunk_id"), "token").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, doc_id: str, config: Config = Config(), stemmed: bool = True) -> DataFrame:
+    """(chunk_size, term, doc_id, chunk_id, term_frequency) of analyzed documents, terms as stems unless told otherwise; without a shuffle."""
+    sizes = config.chunk_sizes
 
+    def rows(tokens: list[str]) -> Iterator[tuple]:
+        terms = [stem(t) for t in tokens] if stemmed else tokens
+        for size in sizes:
+            for chunk, start in enumerate(range(0, len(terms), size)):
+                for term, n in Counter(terms[start : start + size]).items():
+                    yield size, term, chunk, n
 
-def postings(docs: DataFrame, doc_id: str, config: Config = Config(), stemmed: bool = True) -> DataFrame:
-    """(chunk_size, term, doc_id, chunk_id, term_frequency), terms as stems unless told otherwise."""
-    counts = token_counts(docs, doc_id, config)
-    if not stemmed:
-        return counts.select("chunk_size", F.col("token").alias("term"), "doc_id", "chunk_id", F.col("tf").alias("term_frequency"))
-    vocabulary = stems(docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.lit(1).alias("one")).select("token"))
-    joined = counts.join(vocabulary, "token")
-    return joined.groupBy("chunk_size", F.col("stem").alias("term"), "doc_id", "chunk_id").agg(F.sum("tf").alias("term_frequency"))
+    out = _by_document(docs, doc_id, "tokens", ["chunk_size", "term", "chunk_id", "term_frequency"], [T.IntegerType(), T.StringType(), T.IntegerType(), T.LongType()], rows)
+    return out.select("chunk_size", "term", "doc_id", "chunk_id", "term_frequency")
+
+
+def document_terms(docs: DataFrame, doc_id: str, stemmed: bool = True) -> DataFrame:
+    """(doc_id, term, term_frequency): each document's terms once, over all its chunks."""
+    rows = lambda tokens: Counter(map(stem, tokens) if stemmed else tokens).items()
+    return _by_document(docs, doc_id, "tokens", ["term", "term_frequency"], [T.StringType(), T.LongType()], rows)
+
+
+def frequencies_by_size(terms: DataFrame, config: Config = Config()) -> DataFrame:
+    """(chunk_size, term, doc_frequency) of document_terms: one combined shuffle by term. A document has a term in some chunk whatever the chunks' size."""
+    counted = terms.groupBy("term").agg(F.count("*").alias("doc_frequency"))
+    return counted.select(F.explode(F.array(*(F.lit(s) for s in config.chunk_sizes))).alias("chunk_size"), "term", "doc_frequency")
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -70,11 +116,11 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return once.groupBy("chunk_size", "term").agg(F.count("*").alias("doc_frequency"))
 
 
-def chunk_statistics(docs: DataFrame, posts: DataFrame, config: Config = Config()) -> DataFrame:
-    """A row a chunk size: vocabulary_size, total_chunks, total_tokens."""
+def chunk_statistics(docs: DataFrame, frequencies: DataFrame, config: Config = Config()) -> DataFrame:
+    """A row a chunk size: vocabulary_size, total_chunks, total_tokens. frequencies: a row a chunk size and term."""
     sized = docs.select(F.size("tokens").alias("n"), F.explode(F.array(*(F.lit(s) for s in config.chunk_sizes))).alias("chunk_size"))
     totals = sized.groupBy("chunk_size").agg(F.sum(chunk_count(F.col("n"), F.col("chunk_size"))).alias("total_chunks"), F.sum(F.col("n").cast("bigint")).alias("total_tokens"))
-    terms = posts.groupBy("chunk_size", "term").agg(F.lit(1).alias("one")).groupBy("chunk_size").agg(F.count("*").alias("vocabulary_size"))
+    terms = frequencies.groupBy("chunk_size").agg(F.count("*").alias("vocabulary_size"))
     return totals.join(terms, "chunk_size").select("chunk_size", "vocabulary_size", "total_chunks", "total_tokens")
 
 
@@ -125,35 +171,20 @@ def vocabulary_scan(frequencies: DataFrame, patterns: tuple[str, ...], limit: in
     return rows.select("pattern", "place", "e.term", "e.doc_frequency", "more")
 
 
-def _kept(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """rows with columns that are computed once a row: behind a generator they are not written out again in what uses them."""
-    struct = F.struct(*(c.alias(name) for name, c in columns.items()))
-    return rows.select(*keep, F.explode(F.array(struct)).alias("__k")).select(*keep, *(F.col(f"__k.{name}").alias(name) for name in columns))
+def top_terms(docs: DataFrame, doc_id: str, config: Config = Config()) -> DataFrame:
+    """(doc_id, rank, term, frequency, weight): a document's most frequent tokens, truncated by no limit, ties by first occurrence. Without a shuffle."""
 
+    def rows(tokens: list[str]) -> Iterator[tuple]:
+        for rank, (term, n) in enumerate(Counter(tokens).most_common(config.top_terms), 1):
+            yield rank, term, n, n / len(tokens)
 
-def top_terms(docs: DataFrame, doc_id: str, config: Config = Config()) -> DataFrame:
-    """(doc_id, rank, term, frequency, weight): a document's most frequent tokens, truncated by no limit, ties by first occurrence.
+    out = _by_document(docs, doc_id, "kept", ["rank", "term", "frequency", "weight"], [T.IntegerType(), T.StringType(), T.LongType(), T.DoubleType()], rows)
+    return out.withColumn("weight", F.round("weight", 6))
 
-    Counted on the row itself, without a shuffle: sorted tokens, the starts of their runs, and the distances between these.
-    """
-    tokens = F.transform("kept", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    rows = docs.where(F.size("kept") > 0).select(F.col(doc_id).alias("doc_id"), F.size("kept").alias("n"), "kept")
-    rows = _kept(rows, ["doc_id", "n"], sorted=F.array_sort(tokens))
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.get("sorted", i)["t"] != F.get("sorted", i - 1)["t"], F.lit(True)))
-    rows = _kept(rows, ["doc_id", "n", "sorted"], starts=starts)
-    entry = lambda s, k: F.struct((s - F.coalesce(F.get("starts", k + 1), F.col("n"))).alias("minus"), F.get("sorted", s)["i"].alias("first"), F.get("sorted", s)["t"].alias("term"))
-    ranked = F.slice(F.array_sort(F.transform("starts", entry)), 1, config.top_terms)
-    out = rows.select("doc_id", "n", F.posexplode(ranked).alias("rank", "e"))
-    frequency = (-F.col("e.minus")).cast("bigint")
-    return out.select("doc_id", (F.col("rank") + 1).alias("rank"), "e.term", frequency.alias("frequency"), F.round(frequency / F.col("n"), 6).alias("weight"))
-
-
-def stem_frequencies(docs: DataFrame, doc_id: str) -> DataFrame:
-    """(doc_id, frequencies): for each document the map of stem to count, over all its tokens."""
-    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode("kept").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    vocabulary = stems(counts.groupBy("token").agg(F.lit(1).alias("one")).select("token"))
-    by_stem = counts.join(vocabulary, "token").groupBy("doc_id", "stem").agg(F.sum("n").alias("n"))
-    return by_stem.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stem", "n")))).alias("frequencies"))
+
+def stem_counts(docs: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, stem, n): for each document how often it has each stem, over all its tokens. Without a shuffle."""
+    return _by_document(docs, doc_id, "kept", ["stem", "n"], [T.StringType(), T.LongType()], lambda tokens: Counter(map(stem, tokens)).items())
 
 
 # Rebuild ------------------------------------------------------------------------------------------

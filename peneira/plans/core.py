@@ -10,7 +10,7 @@ from peneira.config import Config
 from peneira.functions import html, text, urls
 from peneira.functions.stemmer import duckdb_ctes, stems
 from peneira.operators import crawl, index, kickoff, schedule, search
-from peneira.session import durable
+from peneira.session import durable, release, shared_folder, spread
 from peneira.sources.files import summary_rows
 from peneira.sources.tables import table
 
@@ -82,7 +82,7 @@ posts as (select chunk_size, stem as term, h as doc_id, chunk_id, cast(sum(tf) a
 
 
 def _first(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", HASH, "fetched_at", *columns)
+    docs = spread(table(spark, d, "documents").select("doc_id", HASH, "fetched_at", *columns))
     return index.first_of_hash(docs, HASH, "doc_id", "fetched_at")
 
 
@@ -140,7 +140,7 @@ def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 select h as doc_id, stem, count(*) as n from pos join stems using (token) group by all""")
 def stem_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Stem counts of each page."""
-    return index.stem_frequencies(_analyzed(spark, d), HASH).select("doc_id", F.explode("frequencies").alias("stem", "n"))
+    return index.stem_counts(_analyzed(spark, d), HASH)
 
 
 @query("select doc_id, sha256(text) as text_sha256, length(cleaned_text) as cleaned_length, n_chars = length(text) as length_holds from documents")
@@ -173,15 +173,15 @@ def postings_chunked(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_POSTS} select chunk_size, term, count(distinct doc_id) as doc_frequency from posts group by all")
 def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Exact document frequency."""
-    return index.document_frequency(index.postings(_analyzed(spark, d), HASH, CONFIG))
+    return index.frequencies_by_size(index.document_terms(_analyzed(spark, d), HASH), CONFIG)
 
 
 @query(f"""with {_POSTS}, c as (select chunk_size, cast(sum(greatest(1, ceil(len(tokens) / chunk_size))) as bigint) as total_chunks, cast(sum(len(tokens)) as bigint) as total_tokens from an, {_SIZES} group by 1),
 v as (select chunk_size, count(distinct term) as vocabulary_size from posts group by 1) select chunk_size, vocabulary_size, total_chunks, total_tokens from c join v using (chunk_size)""")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics by chunk size."""
-    docs = _analyzed(spark, d)
-    return index.chunk_statistics(docs, index.postings(docs, HASH, CONFIG), CONFIG)
+    docs = durable(_analyzed(spark, d).select(HASH, "tokens"))
+    return index.chunk_statistics(docs, index.frequencies_by_size(index.document_terms(docs, HASH), CONFIG), CONFIG)
 
 
 @query(f"""with {_ANALYZED} select h as doc_id, cast(len(tokens) as bigint) as token_count, cast(len(list_distinct(kept)) as bigint) as unique_token_count, cast(len(all_tokens) - len(kept) as bigint) as stopword_count,
@@ -216,8 +216,8 @@ m as (select pattern, term, doc_frequency, row_number() over (partition by patte
 select pattern, cast(n - 1 as int) as place, term, doc_frequency, greatest(c - 10, 0) as more from m where n <= 10""")
 def vocab_substring(spark: SparkSession, d: str) -> DataFrame:
     """Words that contain a pattern (a report of ten each)."""
-    posts = index.postings(_analyzed(spark, d), HASH, CONFIG).where("chunk_size = 160")
-    return index.vocabulary_scan(index.document_frequency(posts), _SCAN)
+    terms = index.document_terms(_analyzed(spark, d), HASH)
+    return index.vocabulary_scan(index.frequencies_by_size(terms, Config(chunk_sizes=(160,))), _SCAN)
 
 
 @query("""with r as (select raw_html_hash, ingested_at, url, unnest(lexical.top_terms) as e from crawl_summaries where lexical is not null),
@@ -245,20 +245,22 @@ def rebuild_counters(spark: SparkSession, d: str) -> DataFrame:
 
 _SYN_ROWS = [(h, k, s) for h, ss in dims.SYNONYMS.items() for k, s in enumerate(ss)]
 _TEAM_LIST = "[" + ", ".join(f"'{w}'" for w in dims.TEAM_WORDS) + "]"
-_EXPAND = f"""q as (select * from {dims.sql_values(SEARCHES, 'query_id, query')}),
+_EXPAND = f"""q as (select * from {dims.sql_values(SEARCHES, 'query_id, query')} union all select doc_id, coalesce(title, '') from documents where doc_id % 50 = 0),
 own as (select query_id, unnest({_sql_query_tokens('query')}) as token, generate_subscripts({_sql_query_tokens('query')}, 1) - 1 as pos from q),
 syn as (select head, n * 100 + k as n, synonym from (select head, n, unnest({_sql_query_tokens('txt')}) as synonym, generate_subscripts({_sql_query_tokens('txt')}, 1) - 1 as k from {dims.sql_values(_SYN_ROWS, 'head, n, txt')})),
 ex as (select query_id, token, cast(min(ord) as bigint) as ord from (select query_id, pos as ord, token from own union all select query_id, 1000000 + pos * 10000 + n, synonym from own join syn on token = head) group by 1, 2)"""
 _SEARCH = f"""{_ANALYZED}, {_COUNTS}, {_EXPAND}, voc as (select token from pos union select token from ex), {duckdb_ctes('voc')},
 posts as (select stem as term, h as doc_id, sum(tf) as tf from tc join stems using (token) where chunk_size = 160 group by all),
 terms as (select query_id, stem as term, min(ord) as ord from ex join stems using (token) where length(stem) >= 3 group by 1, 2),
-feats as (select h as doc_id, doc_id as doc_ord, url, len(tokens) as token_count, case when trim(coalesce(title, '')) = '' then 'Sem titulo' else title end as title,
+feats as (select h as doc_id, doc_id as doc_ord, url, fetched_at, status, len(tokens) as token_count, case when trim(coalesce(title, '')) = '' then 'Sem titulo' else title end as title,
   regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') as domain from an),
 st as (select count(*) as documents, avg(token_count) as average from feats),
 df as (select term, count(*) as df from posts where term in (select term from terms) group by 1),
 parts as (select query_id, p.doc_id, ord, ln(1.0::double + (documents - df + 0.5::double) / (df + 0.5::double)) * (p.tf * 2.5::double / (p.tf + 1.5::double * (0.25::double + 0.75::double * (token_count / average)))) as part
   from terms join posts p using (term) join df using (term) join feats using (doc_id), st where documents - df + 0.5 > 0),
 base as (select query_id, doc_id, sum(part) as base, count(*) as terms_matched, min(ord) as first_ord from parts group by 1, 2)"""
+_MERGED = """s as (select raw_html_hash as hash, epoch_us(ingested_at) * 1000 + cast(status is null as int) as ord, title, fetched_at, status, lexical.token_count as tc from crawl_summaries where raw_html_hash is not null),
+l as (select hash, arg_max(title, ord) filter (trim(coalesce(title, '')) <> '') as s_title, arg_max_null(status, ord) as s_status, arg_max_null(fetched_at, ord) as s_fetched, arg_max(tc, ord) filter (tc > 0) as s_tokens from s group by 1)"""
 _COV = "case when len({0}) > 0 and len({1}) > 0 then len(list_filter({0}, lambda t: list_contains({1}, t))) / len({0}) else 0.0::double end"
 _BOOSTED = f"""{_SEARCH},
 qx as (select q.query_id, {_sql_normalized('query')} as whole, {_sql_query_tokens('query')} as own, tokens as toks from q join (select query_id, list(token order by ord) as tokens from ex group by 1) using (query_id)),
@@ -270,70 +272,118 @@ sc as (select *, base * (1 + 2 * c1 + 0.7::double * c2) * case when contains(nt,
   * case when len(list_filter(toks, lambda t: list_contains({_TEAM_LIST}, t) and contains(nt, t))) > 0 then 1.1::double else 1 end * team_factor + case when len(list_filter(toks, lambda t: contains(nd, t))) > 0 then 0.2::double else 0 end as raw from tf)"""
 
 
-def _queries(spark: SparkSession) -> DataFrame:
-    return dims.frame(spark, SEARCHES, "query_id int, query string")
+# The same over documents with what their summary rows add.
+_ENRICHED = f"{_MERGED}, " + _BOOSTED.replace(
+    "len(tokens) as token_count, case when trim(coalesce(title, '')) = '' then 'Sem titulo' else title end as title,",
+    "len(tokens) as token_count, coalesce(s_title, case when trim(coalesce(title, '')) = '' then 'Sem titulo' else title end) as title,",
+).replace("feats as (select h as doc_id, doc_id as doc_ord, url, fetched_at, status,", "feats as (select h as doc_id, doc_id as doc_ord, url, coalesce(s_fetched, fetched_at) as fetched_at, coalesce(s_status, status) as status,").replace(
+    "as domain from an),", "as domain from an left join l on l.hash = an.h),"
+)
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    return search.search_documents(docs.select(F.col(HASH).alias("doc_id"), "url", "title", F.size("tokens").alias("token_count"), F.col("doc_id").alias("doc_ord")), CONFIG)
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed queries, and the title of every document whose id is divisible by 50."""
+    fixed = dims.frame(spark, [(int(i), q) for i, q in SEARCHES], "query_id bigint, query string")
+    titles = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("query"))
+    return fixed.unionByName(titles)
 
 
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The index that a search reads, written once as it would be in production."""
-    docs = _analyzed(spark, d, "url", "title")
-    posts = index.postings(docs, HASH, Config(chunk_sizes=(160,))).select("term", "doc_id", "term_frequency")
-    return durable(posts), durable(_features(docs))
+def _one_query(spark: SparkSession) -> DataFrame:
+    return dims.frame(spark, [SEARCHES[0]], "query_id bigint, query string")
+
+
+_indexes: dict[tuple[str, str, bool], search.StoredIndex] = {}
+
+
+def _index(spark: SparkSession, d: str, enriched: bool = False) -> search.StoredIndex:
+    """The stored index of a data folder, built by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, d, enriched)
+    if key not in _indexes:
+        docs = durable(_analyzed(spark, d, "url", "title", "status").select("doc_id", HASH, "url", "title", "fetched_at", "status", "tokens"))
+        features = docs.select(F.col(HASH).alias("doc_id"), "url", "title", F.size("tokens").cast("bigint").alias("token_count"), F.col("doc_id").alias("doc_ord"), "fetched_at", "status")
+        if enriched:
+            merged = search.merged_summaries(features.select("doc_id", "title", "fetched_at", "status", "token_count"), _summaries(spark, d))
+            features = features.select("doc_id", "url", "doc_ord").join(merged, "doc_id")
+        _indexes[key] = search.store(index.document_terms(docs, HASH), search.search_documents(features, CONFIG), shared_folder(spark, "index"))
+        release(docs)
+    return _indexes[key]
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The summary rows in the order in which they came; of rows of one moment one with a status is the earlier."""
+    ord_ = F.unix_micros(F.col("ingested_at").cast("timestamp")) * 1000 + F.col("status").isNull().cast("int")
+    return table(spark, d, "crawl_summaries").select(F.col(HASH).alias("hash"), ord_.alias("ord"), "title", "fetched_at", "status", F.col("lexical.token_count").alias("token_count"))
+
+
+@query(f"with {_POSTS} select count(distinct doc_id) as documents, count(distinct term) as terms, count(*) as rows_, cast(sum(tf) as bigint) as tokens from (select doc_id, term, sum(term_frequency) as tf from posts where chunk_size = 160 group by all)")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index, written anew and read again, in numbers."""
+    _indexes.pop((spark.sparkContext.applicationId, d, False), None)
+    return _index(spark, d).terms.agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("term").alias("terms"), F.count("*").alias("rows_"), F.sum("term_frequency").alias("tokens"))
 
 
 @query(f"with {_EXPAND} select query_id, ord, token from ex")
 def synonym_expand(spark: SparkSession, d: str) -> DataFrame:
     """Q1: the words of each query and their synonyms."""
-    return search.expanded_tokens(_queries(spark), CONFIG)
+    return search.expanded_tokens(_queries(spark, d), CONFIG)
+
+
+def _scores(spark: SparkSession, d: str, queries: DataFrame) -> tuple[search.StoredIndex, DataFrame]:
+    stored = _index(spark, d)
+    terms = search.query_terms(search.expanded_tokens(queries, CONFIG), CONFIG)
+    return stored, search.base_scores(terms, stored.terms, stored.features, CONFIG, (stored.known, stored.average))
+
+
+def _search(spark: SparkSession, d: str, enriched: bool = False, **options) -> DataFrame:
+    stored = _index(spark, d, enriched)
+    return search.search(_queries(spark, d), stored.terms, stored.features, CONFIG, totals=(stored.known, stored.average), **options)
 
 
 @query(f"with {_SEARCH} select query_id, doc_id, round(base, 6) as base, terms_matched from base")
 def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
     """Q2-Q7: base scores of every match of a batch of queries."""
-    posts, features = _parts(spark, d)
-    terms = search.query_terms(search.expanded_tokens(_queries(spark), CONFIG), CONFIG)
-    return search.base_scores(terms, posts, features, CONFIG).select("query_id", "doc_id", F.round("base", 6).alias("base"), "terms_matched")
+    return _scores(spark, d, _queries(spark, d))[1].select("query_id", "doc_id", F.round("base", 6).alias("base"), "terms_matched")
 
 
 @query(f"""with {_SEARCH}, r as (select *, round(base, 6) as score from base join feats using (doc_id) where query_id = 1)
 select doc_id, score, terms_matched from r order by score desc, first_ord, doc_ord limit 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: the ten best documents of one query by BM25 alone."""
-    posts, features = _parts(spark, d)
-    terms = search.query_terms(search.expanded_tokens(_queries(spark).where("query_id = 1"), CONFIG), CONFIG)
-    scored = search.base_scores(terms, posts, features, CONFIG).join(features.select("doc_id", "doc_ord"), "doc_id").withColumn("score", F.round("base", 6))
+    stored, scores = _scores(spark, d, _one_query(spark))
+    scored = scores.join(stored.features.select("doc_id", "doc_ord"), "doc_id").withColumn("score", F.round("base", 6))
     return search.top_k(scored, 10).select("doc_id", "score", "terms_matched")
 
 
-@query(f"""with {_BOOSTED}, r as (select *, round(raw, 6) as score from sc), p as (select *, row_number() over (partition by query_id order by score desc, first_ord, doc_ord) as place from r)
-select query_id, cast(place as int) as place, doc_id, url, title, score, terms_matched, token_count from p where place <= 20""")
+_PLACES = "r as (select *, round(raw, 6) as score from sc), p as (select *, row_number() over (partition by query_id order by score desc, first_ord, doc_ord) as place from r)"
+
+
+@query(f"""with {_BOOSTED}, {_PLACES} select query_id, cast(place as int) as place, doc_id, url, title, score, terms_matched, token_count, fetched_at, status from p where place <= 20""")
 def search_boosted(spark: SparkSession, d: str) -> DataFrame:
-    """Q1-Q14: the whole search of a batch of queries, twenty results each."""
-    posts, features = _parts(spark, d)
-    return search.search(_queries(spark), posts, features, CONFIG)
+    """The whole search of a batch of queries, twenty results each."""
+    return _search(spark, d)
+
+
+@query(f"""with {_ENRICHED}, {_PLACES} select query_id, cast(place as int) as place, doc_id, url, title, score, terms_matched, token_count, fetched_at, status from p where place <= 20""")
+def search_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Q13 with Q14, P14: the same where documents have what their summary rows add."""
+    return _search(spark, d, enriched=True)
 
 
 @query(f"with {_BOOSTED} select query_id, count(*) as kept from sc where raw >= 3 group by 1")
 def min_score(spark: SparkSession, d: str) -> DataFrame:
     """How many results of each query reach a least score."""
-    posts, features = _parts(spark, d)
-    return search.search(_queries(spark), posts, features, CONFIG, limit=2**31 - 2, min_score=3.0).groupBy("query_id").agg(F.count("*").alias("kept"))
+    return _search(spark, d, limit=2**31 - 2, min_score=3.0).groupBy("query_id").agg(F.count("*").alias("kept"))
 
 
 @query(f"""with {_BOOSTED} select query_id, doc_id, round(c1, 6) as title_coverage, round(c2, 6) as url_coverage, round(team_factor, 6) as team_factor from sc""")
 def coverage_and_team_factor(spark: SparkSession, d: str) -> DataFrame:
     """Q8, Q10, Q11: coverage and team factor of every match."""
-    posts, features = _parts(spark, d)
-    queries = _queries(spark)
+    queries = _queries(spark, d)
+    stored, hits = _scores(spark, d, queries)
     expanded = search.expanded_tokens(queries, CONFIG)
     bags = expanded.groupBy("query_id").agg(F.collect_list("token").alias("tokens"))
     own = queries.select("query_id", text.query_tokens(F.col("query")).alias("own"))
-    hits = search.base_scores(search.query_terms(expanded, CONFIG), posts, features, CONFIG)
-    j = hits.select("query_id", "doc_id").join(bags, "query_id").join(own, "query_id").join(features, "doc_id")
+    j = hits.select("query_id", "doc_id").join(bags, "query_id").join(own, "query_id").join(stored.features, "doc_id")
     cover = lambda f: F.round(search.coverage(F.col("tokens"), F.col(f)), 6)
     factor = search.team_factor(F.col("own"), F.col("title_tokens"), F.col("url_tokens"), F.col("normalized_domain"), CONFIG)
     return j.select("query_id", "doc_id", cover("title_tokens").alias("title_coverage"), cover("url_tokens").alias("url_coverage"), F.round(factor, 6).alias("team_factor"))
@@ -353,15 +403,11 @@ def query_weights(spark: SparkSession, d: str) -> DataFrame:
     return search.weighted_terms(dims.frame(spark, _WEIGHTED, "query_id int, query string"), CONFIG)
 
 
-@query("""with s as (select raw_html_hash as hash, epoch_us(ingested_at) * 1000 + cast(status is null as int) as ord, title, status, lexical.token_count as tc from crawl_summaries where raw_html_hash is not null),
-l as (select hash, arg_max(title, ord) filter (trim(coalesce(title, '')) <> '') as s_title, arg_max_null(status, ord) as s_status, arg_max(tc, ord) filter (tc > 0) as s_tokens from s group by 1),
-""" + _FIRST + """ select firsts.raw_html_hash as doc_id, coalesce(s_title, title) as title, coalesce(s_status, status) as status, s_tokens as token_count from firsts left join l on l.hash = firsts.raw_html_hash""")
+@query(f"with {_MERGED}," + _FIRST + """ select firsts.raw_html_hash as doc_id, coalesce(s_title, title) as title, coalesce(s_status, status) as status, s_tokens as token_count from firsts left join l on l.hash = firsts.raw_html_hash""")
 def jsonl_merge(spark: SparkSession, d: str) -> DataFrame:
     """Q13: pages with what their summary rows add."""
-    ord_ = F.unix_micros(F.col("ingested_at").cast("timestamp")) * 1000 + F.col("status").isNull().cast("int")
-    rows = table(spark, d, "crawl_summaries").select(F.col(HASH).alias("hash"), ord_.alias("ord"), "title", "fetched_at", "status", F.col("lexical.token_count").alias("token_count"))
     docs = _first(spark, d, "title", "status").select(F.col(HASH).alias("doc_id"), "title", "fetched_at", "status", F.lit(None).cast("bigint").alias("token_count"))
-    return search.merged_summaries(docs, rows).select("doc_id", "title", "status", "token_count")
+    return search.merged_summaries(docs, _summaries(spark, d)).select("doc_id", "title", "status", "token_count")
 
 
 # URLs and HTML ------------------------------------------------------------------------------------

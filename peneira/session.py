@@ -25,6 +25,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make so few partitions that most cores would wait; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in spark.checkpoint.dir; choose a temporary one only where that is unset on a local master.
 

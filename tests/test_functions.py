@@ -25,7 +25,7 @@ def test_fold_composed_and_decomposed_alike(spark):
 
 
 def test_lexical_summary_of_nothing(spark):
-    r = spark.createDataFrame([([],)], "v array<string>").select(text.lexical_summary(F.col("v")).alias("r")).first().r
+    r = spark.createDataFrame([([],)], "v array<string>").select(text.lexical_summary(F.col("v"), F.col("v")).alias("r")).first().r
     assert tuple(r) == (0, 0, 0, 0.0, 0.0)
 
 
@@ -90,3 +90,19 @@ def test_config():
     assert Config.from_env({"INDEX_MIN_TOKEN_LENGTH": "1", "LEXICAL_TOP_TERMS": "2", "CRAWLER_STRATEGY": "DFS"}) == Config(min_token_length=2, top_terms=5, strategy="dfs")
     assert [search_limit(x) for x in (None, "", "7", "0", "abc", "12x")] == [10, 10, 7, 20, 20, 12]
     assert [match_limit(x) for x in (None, "5", "0", "abc")] == [3, 5, 1, None]
+
+
+def test_python_stems_equal_the_sql_steps_and_published_pairs(spark):
+    import duckdb
+
+    from peneira.functions.pystem import stem
+    from peneira.functions.stemmer import IDADE, IRA, IVO, LOGIA, STANDARD, VERB, duckdb_ctes
+
+    ends = sorted({*STANDARD, *LOGIA, *IDADE, *IVO, *IRA, *VERB, "amente", "mente", "ativamente", "avelmente", "abilidade", "icidade", "ivas", "ativos", "os", "e", "guie", "cie", "ci", "a", ""})
+    words = sorted({b + e for b in ("", "a", "be", "gol", "conc", "segu", "preced", "oeste", "aut", "rapid", "estr", "necess") for e in ends} - {""})
+    values = ", ".join(f"('{w}')" for w in words)
+    expected = dict(duckdb.sql(f"with v as (select * from (values {values}) as t(token)), {duckdb_ctes('v')} select token, stem from stems").fetchall())
+    assert {w: stem(w) for w in words} == expected
+    # Pairs of the published sample vocabulary whose words have no accent.
+    published = {"boa": "boa", "boate": "boat", "bobagem": "bobag", "bobagens": "bobagens", "bobalhoes": "bobalho", "quilometros": "quilometr", "quilos": "quil", "quinta": "quint", "quintal": "quintal", "quiser": "quis", "jogadores": "jogador", "jogando": "jog", "rapidamente": "rapid", "felicidade": "felic"}
+    assert {w: stem(w) for w in published} == published

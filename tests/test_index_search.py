@@ -35,14 +35,29 @@ def test_invariants_of_the_index(spark):
     config = Config(chunk_sizes=(3, 160))
     docs = analyzed(spark, config)
     posts = index.postings(docs, "raw_html_hash", config)
-    stats = {r.chunk_size: r for r in index.chunk_statistics(docs, posts, config).collect()}
+    stats = {r.chunk_size: r for r in index.chunk_statistics(docs, index.document_frequency(posts), config).collect()}
     assert stats[3].total_tokens == stats[160].total_tokens == sum(r.n for r in docs.select(F.size("tokens").alias("n")).collect())
     assert stats[3].vocabulary_size == stats[160].vocabulary_size
     assert stats[160].total_chunks == 2 + math.ceil(500 / 160)
+    by_size = index.frequencies_by_size(index.document_terms(docs, "raw_html_hash"), config)
+    assert sorted(by_size.collect()) == sorted(index.document_frequency(posts).collect())
     per_doc = posts.where("chunk_size = 3").groupBy("doc_id").agg(F.sum("term_frequency").alias("n"))
     assert {r.doc_id: r.n for r in per_doc.collect()} == {r.raw_html_hash: len(r.tokens) for r in docs.collect()}
 
 
+def test_one_analysis_of_a_text_and_no_shuffle_of_tokens(spark):
+    plan = index.postings(analyzed(spark), "raw_html_hash")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("MapInArrow") == 1
+    assert "Exchange hashpartitioning(token" not in plan and "Exchange hashpartitioning(term" not in plan
+
+
+def test_hashes_of_many_rows_and_ties(spark):
+    rows = [(k, "hot", 5 if k else 7, "t", "u", "x") for k in range(200)] + [(500, "x", None, "t", "u", "x"), (501, "x", 1, "t", "u", "x"), (502, None, 1, "t", "u", "x")]
+    got = index.first_of_hash(spark.createDataFrame(rows, DOCS), "raw_html_hash", "doc_id", "fetched_at").collect()
+    # A null time comes before all others.
+    assert sorted((r.raw_html_hash, r.doc_id) for r in got) == [("hot", 1), ("x", 500)]
+
+
 def test_truncation_and_totals(spark):
     config = replace(Config(), max_tokens=100)
     entries = index.index_documents(analyzed(spark, config), "raw_html_hash", config)
@@ -135,6 +150,27 @@ def test_index_files(spark, tmp_path):
     assert '"docFrequency":1' in files.index_as_json(posts.where("term = 'bol'")).first().entry
 
 
+def test_a_stored_index_is_read_by_term_and_answers_as_the_built_one(spark, tmp_path):
+    config = Config(chunk_sizes=(160,))
+    docs = analyzed(spark, config)
+    _, feats = parts(spark)
+    stored = search.store(index.document_terms(docs, "raw_html_hash"), feats, str(tmp_path / "s"))
+    again = search.stored(spark, str(tmp_path / "s"))
+    assert (again.known, again.average) == (stored.known, stored.average) == (3, (6 + 4 + 500) / 3)
+    qs = spark.createDataFrame([(1, "flamengo hoje"), (2, "bola"), (3, ""), (4, "agenda da semana")], "query_id int, query string")
+    ask = lambda **k: sorted((r.query_id, r.place, r.doc_id, r.score) for r in search.search(qs, **k).collect())
+    posts, _ = parts(spark)
+    assert ask(posts=again.terms, features=again.features, totals=(again.known, again.average)) == ask(posts=posts, features=feats)
+    plan = search.base_scores(search.query_terms(search.expanded_tokens(qs)), again.terms, again.features)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan
+
+
+def test_more_query_terms_than_a_filter_takes(spark, monkeypatch):
+    expected = run(spark, "flamengo hoje", "bola")
+    monkeypatch.setattr(search, "PUSHED_TERMS", 1)
+    assert run(spark, "flamengo hoje", "bola") == expected
+
+
 def test_rebuild_shapes(spark):
     base = '"url":"u","fetchedAt":"f","status":200'
     lines = [
