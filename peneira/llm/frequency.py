@@ -6,8 +6,9 @@ one raises the record count, a repeated part is a second delivery and counts not
 set of records is ever held.
 
 A term that holds a third of all rows would end in one task; its records are therefore
-spread over `slices` by a hash of the record. A record lies in one slice only, so the
-slices' counts add up.
+spread over slices by a hash of the record, as many as there are shuffle partitions at
+least. A record lies in one slice only, so the slices' counts add up. Records travel as
+128 bits of hash, not as the text of their identifier.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from peneira.functions.text import normalized_term
 
+#: Least number of slices.
 SLICES = 256
 RARE_BELOW = 5
 COMMON_SHARE = (1, 5)
@@ -54,27 +56,30 @@ def top_term_occurrences(summaries: DataFrame) -> DataFrame:
     return rows.select(F.lit("top_terms").alias("origin"), "record", F.lit(0).cast("bigint").alias("part"), F.col("e.term").alias("term"), F.col("e.n").alias("occurrences"))
 
 
-def term_statistics(occurrences: DataFrame, slices: int = SLICES, rare_below: int = RARE_BELOW, common_share: tuple[int, int] = COMMON_SHARE) -> DataFrame:
+def term_statistics(occurrences: DataFrame, slices: int | None = None, rare_below: int = RARE_BELOW, common_share: tuple[int, int] = COMMON_SHARE) -> DataFrame:
     """One row for each origin and term: total_frequency, pages, verdict ('rare', 'common' or null).
 
     A (record, part) of a term counts once; of differing deliveries the largest count holds. Null terms do not count,
     but their records do among the origin's. Rare: total below rare_below. Common: not rare, in more than the share of the origin's records.
-    Null occurrences count 0.
+    Null occurrences count 0, null records are one record.
     """
-    spread = occurrences.where(F.col("term").isNotNull()).withColumn("slice", F.pmod(F.xxhash64("record"), F.lit(slices)))
-    by = W.partitionBy("origin", "term", "slice").orderBy("record", "part", F.col("occurrences").desc_nulls_last())
+    n = slices or max(SLICES, int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first, second = F.xxhash64("record"), F.xxhash64(F.lit("second"), "record")
+    spread = occurrences.where(F.col("term").isNotNull()).select("origin", "term", F.pmod(first, F.lit(n)).cast("smallint" if n < 2**15 else "int").alias("slice"), first.alias("r1"), second.alias("r2"), "part", "occurrences")
+    by = W.partitionBy("origin", "term", "slice").orderBy("r1", "r2", "part", F.col("occurrences").desc_nulls_last())
     seen = spread.select(
         "origin",
         "term",
         "slice",
         "occurrences",
-        F.coalesce(F.lag("record").over(by) != F.col("record"), F.lit(True)).alias("new_record"),
+        ((F.lag("r1").over(by) != F.col("r1")) | (F.lag("r2").over(by) != F.col("r2"))).alias("other_record"),
         (~F.lag("part").over(by).eqNullSafe(F.col("part"))).alias("new_part"),
     )
+    seen = seen.withColumn("new_record", F.coalesce("other_record", F.lit(True)))  # the first row of all has none before it
     counts = F.when(F.col("new_record") | F.col("new_part"), F.coalesce("occurrences", F.lit(0))).otherwise(0)
     parts = seen.groupBy("origin", "term", "slice").agg(F.sum(counts).alias("n"), F.sum(F.col("new_record").cast("bigint")).alias("records"))
     totals = parts.groupBy("origin", "term").agg(F.sum("n").alias("total_frequency"), F.sum("records").alias("pages"))
-    all_records = occurrences.groupBy("origin", "record").agg(F.lit(1).alias("one")).groupBy("origin").agg(F.count("*").alias("all_pages"))
+    all_records = occurrences.select("origin", first.alias("r1"), second.alias("r2")).groupBy("origin", "r1", "r2").agg(F.lit(1).alias("one")).groupBy("origin").agg(F.count("*").alias("all_pages"))
     over, of = common_share
     verdict = F.when(F.col("total_frequency") < rare_below, "rare").when(F.col("pages") * of > F.col("all_pages") * over, "common")
     # One row an origin: broadcast, as its size does not depend on the data.
