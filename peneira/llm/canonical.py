@@ -1,13 +1,16 @@
 """Free-entered names to the entries of a canonical list, by a prefix-filter set-similarity join.
 
 A cleaned name is a set of tokens: its letters and its pairs of letters, each numbered by
-occurrence, so that repeated ones count. All tokens are ordered by global rarity. Two sets
-of Jaccard similarity t must share a token among the rarest |x| - ceil(t|x|) + 1 of each, so
-only these prefixes are joined; sizes and positions rule out more pairs, Jaccard decides
-the rest exactly, and the best entry is kept.
-
-Names are matched once each, however many rows bear one; the result goes back to the rows
-by a join salted against names that a large share of rows bears.
+occurrence, so that repeated ones count. All tokens are ordered by global rarity. Of a
+name x only the rarest |x| - ceil(t|x|) + 1 tokens, its prefix, are looked up. An entry y of
+Jaccard similarity t shares at least t/(1+t) (|x|+|y|) tokens, of which the rest of x can
+give no more than |x| - |prefix|; so it must share so many of the prefix that few entries
+do. Sizes rule out more, Jaccard decides what remains exactly, and the best entry is kept.
+No pair of the least similarity is lost.
+
+Names are matched once each, however many rows bear one. The result goes back to the rows
+by a join; the names that a large share of all rows bears, few by definition, are
+broadcast for it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +38,10 @@ THRESHOLD = 0.5
 SURE, EDITS = 0.6, 4
 #: Catalog entries in one broadcast index: some tens of MB.
 ENTRIES_PER_BLOCK = 50_000
-#: Copies of the mapping, over which the rows of one name spread.
-SALTS = 16
+#: The share of the tokens beyond the prefix that is looked up, too, which leaves fewer candidates to be verified; any share gives the same matches.
+LONGER = 0.5
+#: A name borne by more rows than an even partition holds, divided by this, goes back to its rows by broadcast.
+HOT = 4
 UNMATCHED = "UNMATCHED"
 
 _MOJIBAKE = re.compile("[ÃÂ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
@@ -95,46 +101,52 @@ def catalog_spellings(teams: DataFrame) -> DataFrame:
 
 
 class PrefixIndex:
-    """The rare prefixes of a block of catalog entries, ready to be joined to names."""
+    """A block of catalog entries by token, ready to be joined to names by their rare prefixes."""
 
     def __init__(self, entries: Sequence[tuple[str, str, list[str]]], ranks: Mapping[str, int], threshold: float) -> None:
         self.ranks, self.threshold = ranks, threshold
         self.teams = [e[0] for e in entries]
         self.longest = [longest_word(e[1]) for e in entries]
         self.sets = [frozenset(e[2]) for e in entries]
-        self.prefixes: dict[str, list[tuple[int, int]]] = {}
-        for k, e in enumerate(entries):
-            for pos, t in enumerate(self.prefix(e[2])):
-                self.prefixes.setdefault(t, []).append((k, pos))
-
-    def prefix(self, found: Sequence[str]) -> list[str]:
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        holders: dict[str, list[int]] = {}
+        for k, s in enumerate(self.sets):
+            for t in s:
+                holders.setdefault(t, []).append(k)
+        self.holders = {t: np.array(ks, np.int32) for t, ks in holders.items()}
+
+    def prefix(self, found: Sequence[str], longer: float = 0.0) -> list[str]:
         """The rarest tokens, among which two sets of the least similarity must share one. A token without rank is rarer than all that have one."""
         ordered = sorted(found, key=lambda t: (self.ranks.get(t, 0), t))
-        return ordered[: len(ordered) - math.ceil(self.threshold * len(ordered) - 1e-9) + 1]
+        beyond = math.ceil(self.threshold * len(ordered) - 1e-9) - 1
+        return ordered[: len(ordered) - math.ceil(beyond * (1 - longer))]
+
+    def candidates(self, found: Sequence[str]) -> np.ndarray:
+        """The entries that share enough of the rarest tokens, and are neither too small nor too large, for the least similarity.
+
+        The prefix, lengthened by LONGER of the tokens beyond it: the fewer are left out, the more of those counted an entry must share.
+        """
+        n, t = len(found), self.threshold
+        prefix = self.prefix(found, LONGER)
+        lists = [self.holders[x] for x in prefix if x in self.holders]
+        if not lists:
+            return np.zeros(0, np.int64)
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.sets))
+        need = np.ceil(t / (1 + t) * (n + self.sizes) - 1e-9) - (n - len(prefix))
+        return np.flatnonzero((shared >= np.maximum(need, 1)) & (self.sizes >= t * n) & (self.sizes * t <= n))
 
     def matches(self, clean: str, found: Sequence[str]) -> dict[str, float]:
         """The teams at least as similar as the threshold, each with the similarity of its nearest entry."""
-        n, t, mine = len(found), self.threshold, frozenset(found)
+        n, mine = len(found), frozenset(found)
         longest = longest_word(clean)
-        seen: set[int] = set()
         best: dict[str, float] = {}
-        for pos, token in enumerate(self.prefix(found)):
-            for k, other_pos in self.prefixes.get(token, ()):
-                if k in seen:
-                    continue
-                seen.add(k)  # the first shared token decides the positional bound
-                m = len(self.sets[k])
-                if m < t * n or m > n / t:
-                    continue
-                need = math.ceil(t / (1 + t) * (n + m) - 1e-9)
-                if min(n - pos, m - other_pos) < need:
-                    continue
-                shared = len(mine & self.sets[k])
-                j = shared / (n + m - shared)
-                if j < t or j <= best.get(self.teams[k], 0.0):
-                    continue
-                if j >= SURE or within(longest, self.longest[k], EDITS):
-                    best[self.teams[k]] = j
+        for k in self.candidates(found):
+            shared = len(mine & self.sets[k])
+            j = shared / (n + len(self.sets[k]) - shared)
+            if j < self.threshold or j <= best.get(self.teams[k], 0.0):
+                continue
+            if j >= SURE or within(longest, self.longest[k], EDITS):
+                best[self.teams[k]] = j
         return best
 
 
@@ -172,7 +184,7 @@ def match_names(names: DataFrame, spellings: DataFrame, threshold: float = THRES
     counts = left.select("tokens").unionByName(right.select("tokens")).select(F.explode("tokens").alias("t")).groupBy("t").count()
     ranks = {r["t"]: r["count"] for r in counts.toLocalIterator()}
     found = None
-    for block in _blocks(right, per_block):
+    for number, block in enumerate(_blocks(right, per_block)):
         shared = spark.sparkContext.broadcast((block, ranks, threshold))
 
         def join(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -180,19 +192,26 @@ def match_names(names: DataFrame, spellings: DataFrame, threshold: float = THRES
             for batch in batches:
                 at, ids, similarity = [], [], []
                 for i, (clean, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    for team, j in index.matches(clean, t).items():
-                        at.append(i)
-                        ids.append(team)
-                        similarity.append(j)
+                    best = index.matches(clean, t)
+                    top = max(best.values(), default=0.0)
+                    for team, j in best.items():
+                        if j == top:  # others can't be the nearest
+                            at.append(i)
+                            ids.append(team)
+                            similarity.append(j)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.string()), pa.array(similarity, pa.float64())], ["name", "team_id", "j"])
 
         part = left.where(F.size("tokens") > 0).mapInArrow(join, "name string, team_id string, j double")
+        if number or len(block) == per_block:
+            # One of several blocks: its matches are written, so that one block at a time is held.
+            part = durable(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return left.select("name", F.lit(UNMATCHED).alias("id"), F.lit(None).cast("double").alias("similarity"))
-    nearest = found.groupBy("name", "team_id").agg(F.max("j").alias("j")).groupBy("name").agg(F.max("j").alias("j"), F.collect_list(F.struct("j", "team_id")).alias("all"))
-    top = F.filter("all", lambda x: x["j"] == F.col("j"))
-    best = nearest.select("name", F.when(F.size(top) == 1, top[0]["team_id"]).alias("id"), F.col("j").alias("similarity"))
+    # The nearest with the last and with the first identifier: the same where one entry alone is nearest.
+    nearest = found.groupBy("name").agg(F.max(F.struct("j", "team_id")).alias("last"), F.min(F.struct((-F.col("j")).alias("j"), "team_id")).alias("first"))
+    best = nearest.select("name", F.when(F.col("last.team_id") == F.col("first.team_id"), F.col("last.team_id")).alias("id"), F.col("last.j").alias("similarity"))
     return left.select("name").join(best, "name", "left").select("name", F.coalesce("id", F.lit(UNMATCHED)).alias("id"), "similarity")
 
 
@@ -222,7 +241,15 @@ def canonical_names(matches: DataFrame, raw: DataFrame, teams: DataFrame, thresh
     """(name_field, record_id, event_no, team_id) of each typed name that isn't letter for letter a canonical one."""
     rows = typed_names(matches, raw).join(teams.select("name").distinct(), "name", "left_anti")
     rows = durable(rows)
-    mapping = match_names(rows.groupBy("name").agg(F.lit(1).alias("one")).select("name"), catalog_spellings(teams), threshold)
-    salted = mapping.select("name", F.col("id").alias("team_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("record_id", "event_no"), F.lit(SALTS)).cast("int")
-    return rows.withColumn("salt", salt).join(salted, ["name", "salt"]).select("name_field", "record_id", "event_no", "team_id")
+    counted = durable(rows.groupBy("name").agg(F.count("*").alias("n")))
+    mapping = match_names(counted.select("name"), catalog_spellings(teams), threshold).select("name", F.col("id").alias("team_id"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    even = total / (HOT * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Fewer names than HOT times the partitions can be borne by more than an even share of the rows.
+    mapping = durable(mapping.join(counted, "name").select("name", "team_id", (F.col("n") > even).alias("hot")))
+    hot = mapping.where("hot").select("name", F.col("team_id").alias("of_hot"))
+    rest = mapping.where("not hot").select("name", "team_id")
+    marked = rows.join(F.broadcast(hot), "name", "left")
+    columns = ["name_field", "record_id", "event_no", "team_id"]
+    done = marked.where("of_hot is not null").select(*columns[:3], F.col("of_hot").alias("team_id"))
+    return done.unionByName(marked.where("of_hot is null").join(rest, "name").select(*columns))

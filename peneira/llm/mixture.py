@@ -100,7 +100,7 @@ def systematic(sizes: DataFrame, planned: DataFrame, seed: int = 42, buckets: in
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, tokens, copies), and its report: a row a source with target_share, reached_share, tokens, and whether it falls short.
 
-    A source falls short if its max_repeats, or its lack of records, keep it below its wanted tokens by more than one record's copies can.
+    A source falls short if all its records, each max_repeats times, have fewer tokens than it should give.
     Null sources and sources without a target are left out. Tokens are counted once and written, as several steps read them.
     """
     sizes = durable(token_counts(docs, tokenizer))

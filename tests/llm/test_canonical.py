@@ -63,3 +63,24 @@ def test_tables(spark):
     assert got == sorted(expected)
     assert canonical_names(matches.limit(0), raw.limit(0), teams).collect() == []
     assert {r.team_id for r in canonical_names(matches, raw, teams.limit(0)).collect()} == {UNMATCHED}
+
+
+def test_few_candidates_and_none_lost():
+    from collections import Counter
+
+    from peneira.llm.canonical import PrefixIndex
+
+    rng = random.Random(5)
+    syllables = [a + b for a in "bcdfgjlmnprstvz" for b in "aeiou"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 5)))
+    entries = [(str(k), x, tokens(x)) for k, x in enumerate({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(4000)})]
+    index = PrefixIndex(entries, Counter(t for e in entries for t in e[2]), 0.5)
+    share = []
+    for _, x, _ in rng.sample(entries, 40):
+        k = rng.randrange(len(x) - 1)
+        mine = tokens(x[:k] + x[k + 1] + x[k] + x[k + 2 :])
+        near = {k for k, s in enumerate(index.sets) if len(s & set(mine)) / len(s | set(mine)) >= 0.5}
+        found = set(index.candidates(mine).tolist())
+        assert near <= found
+        share.append(len(found) / len(entries))
+    assert sum(share) / len(share) < 0.01
