@@ -79,19 +79,71 @@ WEIGHTED_SYNONYMS = {
 }
 SYNONYM_WEIGHT = 0.7
 
-# Hosts, paths and file endings that are not crawled.
-BLOCKED_DOMAINS = (
-    "doubleclick.net", "googleadservices.com", "googleanalytics.com", "googlesyndication.com", "googletagmanager.com",
-    "googletagservices.com", "facebook.com", "instagram.com", "tiktokcdn.com", "taboola.com", "outbrain.com",
-    "scorecardresearch.com", "quantserve.com", "zedo.com", "advertising.com", "twitter.com", "pinterest.com", "snapchat.com",
-    "whatsapp.com", "wa.me", "t.me", "telegram.me", "telegram.org", "discord.com", "discordapp.com",
-)
-BLOCKED_LABELS = ("bet365", "1xbet", "betano", "pixbet", "leonbet", "suporte", "support", "help", "nba", "ufc")
-BLOCKED_FOLDERS = ("ad", "ads", "advertising", "sponsored", "promo", "tracking", "analytics", "pixel", "tag/manager", "consent")
-BLOCKED_PAGES = (
-    "suporte", "support", "ajuda", "help", "faq", "contato", "contact", "sac", "atendimento", "minha[-_]conta",
-    "my[-_]account", "account", "login", "signin", "chat", "whatsapp", "telegram",
-)
+# Patterns of hosts, patterns of paths, and file endings that are not crawled.
+BLOCKED_HOSTS = (
+    r"(^|\.)doubleclick\.net$",
+    r"(^|\.)google(adservices|analytics|syndication)\.com$",
+    r"(^|\.)googletagmanager\.com$",
+    r"(^|\.)googletagservices\.com$",
+    r"(^|\.)facebook\.com$",
+    r"(^|\.)instagram\.com$",
+    r"(^|\.)tiktokcdn\.com$",
+    r"(^|\.)taboola\.com$",
+    r"(^|\.)outbrain\.com$",
+    r"(^|\.)scorecardresearch\.com$",
+    r"(^|\.)quantserve\.com$",
+    r"(^|\.)zedo\.com$",
+    r"(^|\.)advertising\.com$",
+    r"(^|\.)twitter\.com$",
+    r"(^|\.)pinterest\.com$",
+    r"(^|\.)snapchat\.com$",
+    r"(^|\.)bet365\.",
+    r"(^|\.)1xbet\.",
+    r"(^|\.)betano\.",
+    r"(^|\.)pixbet\.",
+    r"(^|\.)leonbet\.",
+    r"(^|\.)whatsapp\.com$",
+    r"(^|\.)wa\.me$",
+    r"(^|\.)web\.whatsapp\.com$",
+    r"(^|\.)t\.me$",
+    r"(^|\.)telegram\.me$",
+    r"(^|\.)telegram\.org$",
+    r"(^|\.)discord\.com$",
+    r"(^|\.)discordapp\.com$",
+    r"(^|\.)suporte\.",
+    r"(^|\.)support\.",
+    r"(^|\.)help\.",
+    r"(^|\.)nba\.",
+    r"(^|\.)ufc\.",
+)
+BLOCKED_PATHS = (
+    r"/ads?/",
+    r"/advertising/",
+    r"/sponsored/",
+    r"/promo/",
+    r"/tracking/",
+    r"/analytics/",
+    r"/pixel/",
+    r"/tag/manager/",
+    r"/consent/",
+    r"/suporte\b",
+    r"/support\b",
+    r"/ajuda\b",
+    r"/help\b",
+    r"/faq\b",
+    r"/contato\b",
+    r"/contact\b",
+    r"/sac\b",
+    r"/atendimento\b",
+    r"/minha[-_]conta\b",
+    r"/my[-_]account\b",
+    r"/account\b",
+    r"/login\b",
+    r"/signin\b",
+    r"/chat\b",
+    r"/whatsapp\b",
+    r"/telegram\b",
+)
 BLOCKED_ENDINGS = (
     ".gif", ".jpg", ".jpeg", ".png", ".svg", ".ico", ".webp", ".mp4", ".mp3", ".avi", ".mov", ".pdf", ".doc", ".docx",
     ".ppt", ".pptx", ".xls", ".xlsx", ".zip", ".rar", ".7z", ".gz", ".tar",
@@ -138,30 +190,56 @@ TEAMS = (
     ("MIR", "Mirassol", ("Mirassol", "Mirassol Futebol Clube", "MIR", "Leão da Alta Araraquarense", "Leãozão")),
 )
 
-# Slugs whose logo has the file name of the slug, and those whose logo has another.
-LOGOS_BY_SLUG = (
-    "america-mg", "athletico-pr", "atletico-go", "atletico-mg", "bahia", "bolivar", "botafogo", "ceara", "chapecoense",
-    "corinthians", "crb", "criciuma", "cruzeiro", "cuiaba", "estudiantes", "ferroviaria", "flamengo", "fluminense",
-    "fortaleza", "foz-do-iguacu", "goias", "gremio", "internacional", "juventude", "lanus", "ldu", "mirassol", "palmeiras",
-    "red-bull-bragantino", "river-plate", "santos", "sao-paulo", "sport-recife", "vasco-da-gama", "vila-nova", "vitoria",
-    "volta-redonda", "brasileirao",
-)
-LOGOS_BY_OTHER = {
-    "american-mineiro": "america-mg",
-    "athletico-paranaense": "athletico-pr",
-    "atletico-mineiro": "atletico-mg",
-    "bragantino": "red-bull-bragantino",
-    "vasco": "vasco-da-gama",
-    "copa-do-brasil": "copabrasil",
-    "copadobrasil": "copabrasil",
+# The logo file of each team slug.
+LOGOS = {
+    "america-mg": "america-mg.png",
+    "american-mineiro": "america-mg.png",
+    "athletico-pr": "athletico-pr.png",
+    "athletico-paranaense": "athletico-pr.png",
+    "atletico-go": "atletico-go.png",
+    "atletico-mg": "atletico-mg.png",
+    "atletico-mineiro": "atletico-mg.png",
+    "bahia": "bahia.png",
+    "bolivar": "bolivar.png",
+    "botafogo": "botafogo.png",
+    "ceara": "ceara.png",
+    "chapecoense": "chapecoense.png",
+    "corinthians": "corinthians.png",
+    "crb": "crb.png",
+    "criciuma": "criciuma.png",
+    "cruzeiro": "cruzeiro.png",
+    "cuiaba": "cuiaba.png",
+    "estudiantes": "estudiantes.png",
+    "ferroviaria": "ferroviaria.png",
+    "flamengo": "flamengo.png",
+    "fluminense": "fluminense.png",
+    "fortaleza": "fortaleza.png",
+    "foz-do-iguacu": "foz-do-iguacu.png",
+    "goias": "goias.png",
+    "gremio": "gremio.png",
+    "internacional": "internacional.png",
+    "juventude": "juventude.png",
+    "lanus": "lanus.png",
+    "ldu": "ldu.png",
+    "mirassol": "mirassol.png",
+    "palmeiras": "palmeiras.png",
+    "red-bull-bragantino": "red-bull-bragantino.png",
+    "bragantino": "red-bull-bragantino.png",
+    "river-plate": "river-plate.png",
+    "santos": "santos.png",
+    "sao-paulo": "sao-paulo.png",
+    "sport-recife": "sport-recife.png",
+    "vasco": "vasco-da-gama.png",
+    "vasco-da-gama": "vasco-da-gama.png",
+    "vila-nova": "vila-nova.png",
+    "vitoria": "vitoria.png",
+    "volta-redonda": "volta-redonda.png",
+    "copa-do-brasil": "copabrasil.png",
+    "copadobrasil": "copabrasil.png",
+    "brasileirao": "brasileirao.png",
 }
 
 
-def logo_files() -> dict[str, str]:
-    """Slug to logo file."""
-    return {s: f"{s}.png" for s in LOGOS_BY_SLUG} | {s: f"{f}.png" for s, f in LOGOS_BY_OTHER.items()}
-
-
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table as a local relation: its size is that of the code."""
     return spark.createDataFrame(rows, schema)

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from peneira.dims import BLOCKED_DOMAINS, BLOCKED_ENDINGS, BLOCKED_FOLDERS, BLOCKED_LABELS, BLOCKED_PAGES
+from peneira.dims import BLOCKED_ENDINGS, BLOCKED_HOSTS, BLOCKED_PATHS
 
 _TRACKING = "(?i)^(utm_.*|gclid|fbclid)$"
-HOST_PATTERN = "(^|\\.)(" + "|".join(d.replace(".", "\\.") for d in BLOCKED_DOMAINS) + ")$|(^|\\.)(" + "|".join(BLOCKED_LABELS) + ")\\."
-PATH_PATTERN = "(?i)/(" + "|".join(BLOCKED_FOLDERS) + ")/|/(" + "|".join(BLOCKED_PAGES) + ")\\b"
+HOST_PATTERN = "|".join(BLOCKED_HOSTS)
+PATH_PATTERN = "(?i)" + "|".join(BLOCKED_PATHS)
 ENDING_PATTERN = "(" + "|".join(e.replace(".", "\\.") for e in BLOCKED_ENDINGS) + ")$"
 
 

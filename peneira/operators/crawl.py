@@ -7,6 +7,9 @@ plan doesn't grow with the crawl.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,25 +123,54 @@ def pop(queue: DataFrame, n: int, strategy: str = "priority") -> DataFrame:
     return queue.orderBy(*order).limit(n)
 
 
-def crawl_levels(seeds: DataFrame, links: DataFrame, config: Config = Config(), max_levels: int | None = None) -> DataFrame:
-    """(url, level): every address reached from the seeds by the link table (page, url) within the depth, at its least level. Addresses are canonical.
+def _levels(seeds: DataFrame, links: DataFrame, last: int) -> Iterator[tuple[int, DataFrame, int]]:
+    """(level, its new addresses, their number), level by level until none is new or the last is reached.
 
     One step a level; each is written to the checkpoint folder, so its plan stays short and a lost executor costs no earlier step.
     """
-    edges = durable(
-        links.select(urls.canonical(F.col("page")).alias("page"), F.col("url").alias("raw"), urls.canonical(F.col("url")).alias("url")).where(F.col("url").isNotNull() & urls.is_http(F.col("raw")) & ~urls.is_blocked(F.col("raw"))).select("page", "url").distinct()
-    )
-    start = seeds.select(urls.canonical(F.col("url")).alias("url")).where(F.col("url").isNotNull() & ~urls.is_blocked(F.col("url"))).distinct()
-    level = durable(start.withColumn("level", F.lit(0)))
+    usable = urls.is_http(F.col("raw")) & ~urls.is_blocked(F.col("raw"))
+    edges = links.select(urls.canonical(F.col("page")).alias("page"), F.col("url").alias("raw"), urls.canonical(F.col("url")).alias("url")).where(F.col("url").isNotNull() & usable)
+    edges = durable(edges.select("page", "url").distinct())
+    level = durable(seeds.select(urls.canonical(F.col("url")).alias("url")).where(F.col("url").isNotNull() & ~urls.is_blocked(F.col("url"))).distinct())
     seen, n = level, 0
-    while n < (config.max_depth if max_levels is None else min(max_levels, config.max_depth)):
+    while found := level.count():
+        yield n, level, found
+        if n >= last:
+            return
         n += 1
         reached = level.select(F.col("url").alias("page")).join(edges, "page").select("url").distinct()
-        level = durable(reached.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(n)))
-        if level.isEmpty():
-            break
+        level = durable(reached.join(seen, "url", "left_anti"))
         seen = seen.unionByName(level)
-    return seen
+
+
+def _placed(level: DataFrame, n: int) -> DataFrame:
+    return level.select("url", F.lit(n).alias("level"))
+
+
+def crawl_levels(seeds: DataFrame, links: DataFrame, config: Config = Config(), max_levels: int | None = None) -> DataFrame:
+    """(url, level): every address reached from the seeds by the link table (page, url) within the depth, at its least level. Addresses are canonical."""
+    out = seeds.select(F.col("url"), F.lit(0).alias("level")).limit(0)
+    for n, level, _ in _levels(seeds, links, config.max_depth if max_levels is None else min(max_levels, config.max_depth)):
+        out = out.unionByName(_placed(level, n))
+    return out
+
+
+def crawl_run(seeds: DataFrame, links: DataFrame, config: Config = Config(), max_seconds: float = 0.0, clock: Callable[[], float] = time.monotonic) -> tuple[DataFrame, str]:
+    """A whole crawl: (url, level) of the pages processed, and why it stopped: 'max_pages', 'runtime_limit' or 'frontier_empty'.
+
+    Tested between levels; the level that reaches max_pages is cut by address. max_seconds 0 is no limit. Addresses beyond the depth never enter.
+    """
+    began, pages, reason = clock(), 0, "frontier_empty"
+    out = seeds.select(F.col("url"), F.lit(0).alias("level")).limit(0)
+    for n, level, found in _levels(seeds, links, config.max_depth):
+        if max_seconds > 0 and clock() - began >= max_seconds:
+            return out, "runtime_limit"
+        left = config.max_pages - pages
+        out = out.unionByName(_placed(level if found <= left else level.orderBy("url").limit(left), n))
+        pages += found
+        if pages >= config.max_pages:
+            return out, "max_pages"
+    return out, reason
 
 
 def snapshot(queue: DataFrame, visited: DataFrame, path: str) -> None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -187,6 +189,12 @@ def stem_counts(docs: DataFrame, doc_id: str) -> DataFrame:
     return _by_document(docs, doc_id, "kept", ["stem", "n"], [T.StringType(), T.LongType()], lambda tokens: Counter(map(stem, tokens)).items())
 
 
+def vocabulary_any(frequencies: DataFrame, patterns: tuple[str, ...], limit: int = 15) -> DataFrame:
+    """The first terms, by term, that contain any of the patterns: a report of so many rows."""
+    any_of = reduce(or_, (F.contains(F.col("term"), F.lit(p)) for p in patterns))
+    return frequencies.where(any_of).select("term", "doc_frequency").orderBy("term").limit(limit)
+
+
 # Rebuild ------------------------------------------------------------------------------------------
 
 RECORD = """struct<url:string,fetchedAt:string,status:double,title:string,lang:string,pageType:string,source:string,rawHtmlHash:string,
@@ -199,8 +207,8 @@ lexicalDetail:struct<tokens:array<string>,stemmedTokens:array<string>>,lexical:s
 lexicalSummary:struct<topTerms:array<struct<term:string,frequency:double>>>>>""".replace("\n", "")
 
 
-def rebuild_sources(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(doc_id, source, tokens, text) of JSON lines of any of the accepted shapes.
+def rebuild_sources(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, tokens, text, kept columns) of JSON lines of any of the accepted shapes.
 
     source: 'detail' (its stems are used), 'cleanedText', 'topTerms' (a text of the top terms), or 'skipped' for invalid lines, incomplete metadata
     or nothing to index. Blank lines give no row.
@@ -208,7 +216,7 @@ def rebuild_sources(lines: DataFrame, column: str = "value") -> DataFrame:
     from peneira.functions.text import pseudo_text
 
     r = F.from_json(F.col(column), RECORD)
-    rows = lines.where(F.trim(F.coalesce(F.col(column), F.lit(""))) != "").select(r.alias("r"))
+    rows = lines.where(F.trim(F.coalesce(F.col(column), F.lit(""))) != "").select(*keep, r.alias("r"))
     m = F.col("r.metadata")
     hash_ = F.coalesce(F.nullif(m["rawHtmlHash"], F.lit("")), F.when((F.coalesce("r.url", F.lit("")) != "") & (F.coalesce("r.fetchedAt", F.lit("")) != "") & F.col("r.status").isNotNull(), F.coalesce("r.rawHtmlHash", "r.hash")))
     has = lambda c: c["tokens"].isNotNull() & c["stemmedTokens"].isNotNull()
@@ -224,9 +232,19 @@ def rebuild_sources(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.trim(F.coalesce(pseudo, F.lit(""))) != "", "topTerms")
         .otherwise("skipped")
     )
-    out = rows.select(hash_.alias("doc_id"), source.alias("source"), detail.alias("tokens"), clean.alias("clean"), pseudo.alias("pseudo"))
+    out = rows.select(*keep, hash_.alias("doc_id"), source.alias("source"), detail.alias("tokens"), clean.alias("clean"), pseudo.alias("pseudo"))
     text = F.when(F.col("source") == "cleanedText", F.col("clean")).when(F.col("source") == "topTerms", F.col("pseudo"))
-    return out.select("doc_id", "source", F.when(F.col("source") == "detail", F.col("tokens")).alias("tokens"), text.alias("text"))
+    return out.select("doc_id", "source", F.when(F.col("source") == "detail", F.col("tokens")).alias("tokens"), text.alias("text"), *keep)
+
+
+def rebuilt_postings(sources: DataFrame, order_by: str, config: Config = Config()) -> DataFrame:
+    """Postings of what rebuild_sources found, the first line of each document by order_by; details are stems already, texts are analyzed."""
+    usable = sources.where("source <> 'skipped'")
+    first = usable.groupBy("doc_id").agg(F.min_by(F.struct("source", "tokens", "text"), order_by).alias("s")).select("doc_id", "s.*")
+    limit = config.max_tokens or 2**31 - 1
+    details = first.where("source = 'detail'").select("doc_id", F.slice("tokens", 1, limit).alias("tokens"))
+    texts = analyzed(first.where("source <> 'detail'").select("doc_id", "text"), "text", config)
+    return postings(details, "doc_id", config, stemmed=False).unionByName(postings(texts, "doc_id", config))
 
 
 def rebuild_counters(sources: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from peneira.config import Config
-from peneira.dims import SCHEDULE_TEAMS, SLUG_OVERRIDES, TEAMS, frame, logo_files
+from peneira.dims import LOGOS, SCHEDULE_TEAMS, SLUG_OVERRIDES, TEAMS, frame
 from peneira.functions.pytext import fold as plain_fold
 from peneira.functions.text import fold
+from peneira.operators.kickoff import interpretations
 from peneira.operators.nested import AGENDA, fitted_json
 
 #: An unknown kickoff, after all known ones.
@@ -55,11 +57,18 @@ def contestant(c: Column) -> Column:
     return F.coalesce(text_or_null(c["popularName"]), text_or_null(c["name"]))
 
 
-def kickoff_millis(day: Column, hour: Column, zone: str) -> Column:
-    """Epoch milliseconds of a date and an hour (midnight if missing) in a zone; UNKNOWN where they cannot be read."""
-    text = F.concat(day, F.lit(" "), F.coalesce(hour, F.lit("00:00:00")))
-    local = F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")))
-    return F.coalesce(F.unix_millis(F.to_utc_timestamp(local, zone)), F.lit(UNKNOWN))
+def kickoff_millis(day: Column, hour: Column, zone: str, order: str = "dmy") -> Column:
+    """Epoch milliseconds of a date and an hour in any written form (midnight if the hour is missing); UNKNOWN where they cannot be read.
+
+    Read as `kickoff` reads them: the order is declared, so the reading that fits it is the one that its search would choose.
+    """
+
+    @F.pandas_udf("bigint")
+    def read(days: pd.Series, hours: pd.Series) -> pd.Series:
+        found = (interpretations(None, d, h, order, zone) for d, h in zip(days, hours, strict=True))
+        return pd.Series([f[0][1] * 1000 if f else UNKNOWN for f in found], dtype="int64")
+
+    return read(day, hour)
 
 
 def broadcasters(sources: Column) -> Column:
@@ -151,6 +160,22 @@ def enriched(matches: DataFrame, config: Config = Config()) -> DataFrame:
     )
 
 
+def client_timestamp(iso: Column, day: Column, hour: Column) -> Column:
+    """Epoch milliseconds by which a client sorts matches: an ISO instant with zone, else dd/mm/yyyy and hh:mm as UTC; missing parts are the year 1900, January, the first, and 0.
+
+    Parts are the whole numbers with which they begin; months, days and times beyond their range run over.
+    """
+    known = iso.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})\z")
+    part = lambda c, sep, k: F.nullif(F.regexp_extract(F.get(F.split(F.coalesce(c, F.lit("")), sep), F.lit(k)), r"^\s*([+-]?\d{1,6})", 1), F.lit("")).cast("bigint")
+    or_else = lambda c, other: F.coalesce(F.nullif(c, F.lit(0)), F.lit(other)).cast("bigint")
+    y, mo, d = or_else(part(day, "/", 2), 0), or_else(part(day, "/", 1), 1), or_else(part(day, "/", 0), 1)
+    y = F.when(y.between(0, 99), y + 1900).otherwise(y)
+    months = y * 12 + mo - 1
+    first = F.unix_date(F.try_make_timestamp(F.floor(months / 12).cast("int"), (F.pmod(months, F.lit(12)) + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
+    minutes = or_else(part(hour, ":", 0), 0) * 60 + or_else(part(hour, ":", 1), 0)
+    return F.coalesce(F.when(known, F.unix_millis(F.try_to_timestamp(F.regexp_replace(iso, "^(.{16})(?=[Z+-])", "$1:00")))), ((first + d - 1) * 1440 + minutes) * 60_000)
+
+
 def location_text(stadium: Column, city: Column, state: Column) -> Column:
     """'stadium • city - state' of what isn't blank; a default if nothing is left."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -170,7 +195,7 @@ def team_slug(name: Column) -> Column:
 
 def team_logo(spark: SparkSession, names: DataFrame, column: str = "name") -> DataFrame:
     """names with slug and logo, the file of a team's logo, or null."""
-    logos = frame(spark, list(logo_files().items()), "slug string, logo string")
+    logos = frame(spark, list(LOGOS.items()), "slug string, logo string")
     slug = F.regexp_replace(F.trim(F.regexp_replace(fold(F.col(column)), "[^a-z0-9]+", " ")), " ", "-")
     return names.withColumn("slug", slug).join(logos, "slug", "left").select(*names.columns, "slug", "logo")
 

@@ -220,17 +220,22 @@ def vocab_substring(spark: SparkSession, d: str) -> DataFrame:
     return index.vocabulary_scan(index.frequencies_by_size(terms, Config(chunk_sizes=(160,))), _SCAN)
 
 
-@query("""with r as (select raw_html_hash, ingested_at, url, unnest(lexical.top_terms) as e from crawl_summaries where lexical is not null),
-x as (select raw_html_hash, url, ingested_at, e.term as t, greatest(1, cast(round(coalesce(e.frequency, 1)) as int)) as n from r)
-select raw_html_hash, url, ingested_at, cast(sum(n) filter (t is not null) as bigint) as words, count(*) as terms from x group by all""")
+@query(f"""with {_POSTS}, df as (select term, count(distinct doc_id) as doc_frequency from posts where chunk_size = 160 group by 1)
+select term, doc_frequency from df where {" or ".join(f"contains(term, '{p}')" for p in dims.VOCABULARY_ANY)} order by term limit 15""")
+def vocab_any(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifteen words that contain any of a list of patterns."""
+    terms = index.frequencies_by_size(index.document_terms(_analyzed(spark, d), HASH), Config(chunk_sizes=(160,)))
+    return index.vocabulary_any(terms, dims.VOCABULARY_ANY)
+
+
+_PSEUDO = "nullif(left(x, greatest(len(x) - 1, 0)), '')".replace("x", "array_to_string(list_transform(list_filter(lexical.top_terms, lambda e: e.term is not null), lambda e: repeat(e.term || ' ', greatest(1, cast(round(coalesce(e.frequency, 1)) as int)))), '')")
+
+
+@query(f"select raw_html_hash, url, ingested_at, md5(coalesce({_PSEUDO}, '')) as text_md5 from crawl_summaries where len(lexical.top_terms) > 0")
 def rebuild_pseudo_text(spark: SparkSession, d: str) -> DataFrame:
-    """How many words the pseudo texts of top terms have, and of how many terms."""
-    rows = table(spark, d, "crawl_summaries").where("lexical is not null and size(lexical.top_terms) > 0")
-    terms = F.filter("lexical.top_terms", lambda e: e["term"].isNotNull())
-    marked = F.transform(terms, lambda e: F.struct(F.lit("w").alias("term"), e["frequency"].alias("frequency")))
-    words = F.when(F.size(terms) > 0, F.size(F.split(text.pseudo_text(marked), " ")))
-    rows = rows.select(HASH, "url", "ingested_at", words.cast("bigint").alias("n"), F.size("lexical.top_terms").cast("bigint").alias("m"))
-    return rows.groupBy(HASH, "url", "ingested_at").agg(F.sum("n").alias("words"), F.sum("m").alias("terms"))
+    """The pseudo texts of top terms, by their digests."""
+    rows = table(spark, d, "crawl_summaries").where("size(lexical.top_terms) > 0")
+    return rows.select(HASH, "url", "ingested_at", F.md5(text.pseudo_text(F.col("lexical.top_terms"))).alias("text_md5"))
 
 
 @query("""with r as (select case when coalesce(raw_html_hash, '') = '' or coalesce(url, '') = '' or status is null then 'skipped' when lexical is not null and len(lexical.top_terms) > 0 then 'topTerms' else 'skipped' end as source from crawl_summaries)
@@ -428,13 +433,24 @@ array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '
 k as (select *, stem_ || case when rest = '' then '' else '?' || rest end as canonical from c)"""
 
 
+def _sql_list(patterns: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{p}'" for p in patterns) + "]"
+
+
+def _sql_blocked(host: str, path: str) -> str:
+    """Whether one of the fixed patterns or endings holds, each tried by itself."""
+    hit = lambda x, patterns: f"len(list_filter({_sql_list(patterns)}, lambda p: regexp_matches({x}, p))) > 0"
+    ending = f"len(list_filter({_sql_list(dims.BLOCKED_ENDINGS)}, lambda p: ends_with(lower({path}), p))) > 0"
+    return f"({hit(host, dims.BLOCKED_HOSTS)} or {hit(f'lower({path})', dims.BLOCKED_PATHS)} or {ending})"
+
+
 @query(f"with v as ({_U}), {_PARTS} select doc_id, canonical from k")
 def url_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Canonical addresses."""
     return _variants(spark, d).select("doc_id", urls.canonical(F.col("u")).alias("canonical"))
 
 
-@query(f"""with v as ({_U}), {_PARTS} select doc_id, regexp_matches(host, '{urls.HOST_PATTERN}') or regexp_matches(lower(path), '{urls.PATH_PATTERN}') or regexp_matches(lower(path), '{urls.ENDING_PATTERN}') or regexp_matches(canonical, '{urls.PATH_PATTERN}') as blocked from k""")
+@query(f"""with v as ({_U}), {_PARTS} select doc_id, {_sql_blocked('host', 'path')} or {_sql_blocked("''", 'lower(canonical)')} as blocked from k""")
 def url_blocked(spark: SparkSession, d: str) -> DataFrame:
     """Addresses that are not crawled."""
     return _variants(spark, d).select("doc_id", urls.is_blocked(F.col("u")).alias("blocked"))
@@ -514,16 +530,22 @@ def link_priorities(spark: SparkSession, d: str) -> DataFrame:
 _SOFT = "|".join(dims.SOFT_404)
 
 
-@query(f"select doc_id, case when status is null or status >= 400 then 'status' when regexp_matches(lower(html), '{_SOFT}') then 'soft_404' else 'ok' end as outcome from (select doc_id, status, {_HTML} as html from documents)")
+@query(f"select doc_id, case when status is null or status >= 400 then 'status' when doc_id % 5 in (1, 2) then 'content_type' when regexp_matches(lower(html), '{_SOFT}') then 'soft_404' else 'ok' end as outcome from (select doc_id, status, {_HTML} as html from documents)")
 def fetch_filters(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of each response."""
-    return _pages(spark, d).select("doc_id", crawl.fetch_outcome(F.col("status"), F.lit("text/html; charset=utf-8"), F.col("html")).alias("outcome"))
+    types = F.array(*(F.lit(t) for t in ("text/html; charset=utf-8", "application/pdf", "image/png", None, "TEXT/HTML")))
+    return _pages(spark, d).select("doc_id", crawl.fetch_outcome(F.col("status"), F.get(types, F.col("doc_id").cast("int") % 5), F.col("html")).alias("outcome"))
+
+
+_ROBOTS = [("disallow", "/noticia/"), ("allow", "/noticia/agenda"), ("disallow", "/*-vence-*custam$"), ("disallow", "/noticia*-1$"), ("disallow", "/team")]
 
 
-_ROBOTS = [("disallow", "/noticia/"), ("allow", "/noticia/agenda"), ("disallow", "/*-vence-*custam$"), ("disallow", "/team")]
+_ROBOTS_SQL = """[{'n': 9, 'allow': false, 'p': '^/noticia/'}, {'n': 15, 'allow': true, 'p': '^/noticia/agenda'}, {'n': 17, 'allow': false, 'p': '^/.*-vence-.*custam$'}, {'n': 12, 'allow': false, 'p': '^/noticia.*-1$'}, {'n': 5, 'allow': false, 'p': '^/team'}]"""
 
 
-@query("""select doc_id, case when url like 'https://%/noticia/agenda%' then true when url like 'https://%/noticia/%' or regexp_matches(url, '^https://[^/]+/team') then false else true end as allowed from documents""")
+@query(f"""with p as (select doc_id, regexp_extract(url, '^https?://[^/]+(.*)$', 1) as path from documents),
+h as (select doc_id, list_filter({_ROBOTS_SQL}, lambda r: regexp_matches(path, r.p)) as hits from p)
+select doc_id, coalesce((list_sort(hits, 'DESC')[1]).allow, true) as allowed from h""")
 def robots_gate(spark: SparkSession, d: str) -> DataFrame:
     """What robots rules allow."""
     pages = table(spark, d, "documents").select("doc_id", "url")
@@ -538,7 +560,7 @@ _HEAP = """l as (select a.url as page, b.url as url from documents a join docume
 
 
 @query(f"""with recursive l as (select a.url as page, b.url as url from documents a join documents b on b.doc_id = 2 * a.doc_id union all select a.url, b.url from documents a join documents b on b.doc_id = 2 * a.doc_id + 1),
-g as (select distinct page, url from l where not regexp_matches(url, '{urls.PATH_PATTERN}') and not regexp_matches(page, '{urls.PATH_PATTERN}')),
+g as (select distinct page, url from l where not {_sql_blocked("''", 'url')} and not {_sql_blocked("''", 'page')}),
 w as (select url, 0 as level from documents where doc_id = 1 union select g.url, level + 1 from w join g on g.page = w.url where level < 10)
 select url, min(level) as level from w group by 1""")
 def frontier_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -579,14 +601,6 @@ def rate_schedule(spark: SparkSession, d: str) -> DataFrame:
 # Schedules ----------------------------------------------------------------------------------------
 
 
-@query()
-def schedule_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Flat matches of all payloads."""
-    raw = table(spark, d, "raw_schedules")
-    rows = schedule.schedule_matches(raw, ["raw_id"], fallback_url=F.col("page_url"))
-    return rows.select("raw_id", "event_no", "home_team", "away_team", "home_logo", "start_date", "start_hour", "competition", F.array_join("broadcasters", "|").alias("broadcasters"), "venue", "city", "state", "phase", "source_url", "kickoff_ms")
-
-
 _ISO_MS = "epoch_ms(try_strptime(kickoff_iso, ['%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%dT%H:%M:%S.%gZ']))"
 
 
@@ -625,11 +639,11 @@ def kickoff_display(spark: SparkSession, d: str) -> DataFrame:
     return _kickoffs(spark, d).select("record_id", day.alias("match_date"), hour.alias("match_time"))
 
 
-@query("""select record_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(broadcasters, lambda b: trim(coalesce(b, ''))), lambda b: b <> ''))), '|'), '') as broadcasters from match_records""")
+@query("""select record_id, coalesce(array_to_string(list_filter(list_transform(broadcasters, lambda b, i: case when list_position(list_transform(broadcasters, lambda x: trim(coalesce(x, ''))), trim(coalesce(b, ''))) = i then trim(coalesce(b, '')) else '' end), lambda b: b <> ''), '|'), '') as broadcasters from match_records""")
 def broadcaster_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Broadcasters, each once."""
     entries = F.transform("broadcasters", lambda b: F.struct(b.alias("name"), F.lit(None).cast("string").alias("officialLogoUrl"), F.lit(None).cast("string").alias("highlightLogoUrl")))
-    return table(spark, d, "match_records").select("record_id", F.array_join(F.array_sort(schedule.broadcasters(entries)), "|").alias("broadcasters"))
+    return table(spark, d, "match_records").select("record_id", F.array_join(schedule.broadcasters(entries), "|").alias("broadcasters"))
 
 
 @query("""with b as (select record_id, nullif(trim(location_stadium), '') as s, nullif(trim(location_city), '') as c, nullif(trim(location_state), '') as u from match_records)
@@ -644,7 +658,7 @@ _LOGO_NAMES = "select distinct unnest([home_team, away_team]) as name from match
 
 
 @query(f"""with n as ({_LOGO_NAMES}) select name, case {_SLUG.format('name')} when 'vasco-da-gama' then 'vasco' when 'red-bull-bragantino' then 'bragantino' else {_SLUG.format('name')} end as slug,
-logo from n left join {dims.sql_values(list(dims.logo_files().items()), 's, logo')} on s = {_SLUG.format('name')} where name is not null""")
+logo from n left join {dims.sql_values(list(dims.LOGOS.items()), 's, logo')} on s = {_SLUG.format('name')} where name is not null""")
 def team_slug_and_logo(spark: SparkSession, d: str) -> DataFrame:
     """Slugs and logo files of typed names."""
     extra = dims.frame(spark, [(n,) for n in ("São Paulo", "VASCO DA GAMA", "Vasco", "Red Bull Bragantino", "Atlético Mineiro", "Copa do Brasil", "?")], "name string")
@@ -657,12 +671,14 @@ _ALIAS_NAMES = ["Mengão", "furacao", " CRUZEIRO ", "Galo Doido", "Tricolor de A
 _ALIASES = [(n * 100 + k, i, a) for n, (i, name, aliases) in enumerate(dims.TEAMS) for k, a in enumerate((name, *aliases))]
 
 
-@query(f"""with n as (select * from {dims.sql_values([(x,) for x in _ALIAS_NAMES], 'name')}), a as (select ord, team_id, strip_accents(lower(raw)) as alias from {dims.sql_values(_ALIASES, 'ord, team_id, raw')}),
+@query(f"""with n as (select * from {dims.sql_values([(x,) for x in _ALIAS_NAMES], 'name')} union select unnest([home_team, away_team]) from match_records), a as (select ord, team_id, strip_accents(lower(raw)) as alias from {dims.sql_values(_ALIASES, 'ord, team_id, raw')}),
 m as (select name, team_id, row_number() over (partition by name order by case when strip_accents(lower(trim(name))) = alias then 0 else 1 end, ord) as r from n join a on strip_accents(lower(trim(name))) = alias or contains(strip_accents(lower(trim(name))), alias) or contains(alias, strip_accents(lower(trim(name)))))
 select n.name, team_id from n left join m on m.name = n.name and r = 1""")
 def team_alias(spark: SparkSession, d: str) -> DataFrame:
     """Team identifiers of names."""
-    return schedule.team_ids(dims.frame(spark, [(x,) for x in _ALIAS_NAMES], "name string"))
+    typed = table(spark, d, "match_records").select(F.explode(F.array("home_team", "away_team")).alias("name"))
+    names = typed.unionByName(dims.frame(spark, [(x,) for x in _ALIAS_NAMES], "name string"))
+    return schedule.team_ids(names.groupBy("name").agg(F.lit(1).alias("one")).select("name"))
 
 
 _DATES = [
@@ -684,7 +700,7 @@ def team_list(spark: SparkSession, d: str) -> DataFrame:
     return schedule.team_list(spark)
 
 
-@query()
+@query(f"with {_POSTS} select chunk_size, count(*) as batch_rows, count(*) as stream_rows, 0 as differing from posts group by 1")
 def stream_index_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     """The index built as a stream against the batch build: by chunk size, postings of both and those in one only (none)."""
     from uuid import uuid4

@@ -129,8 +129,9 @@ def read_matches_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Append rows to a CSV folder with header; all text quoted, quotes within it escaped."""
-    df.write.mode("append").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """Append rows to a CSV folder with header; all text quoted, quotes within it escaped, blanks at its ends kept."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("append").options(header=True, quoteAll=True, escape='"', **kept).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

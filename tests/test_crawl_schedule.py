@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from peneira.config import Config
 from peneira.operators import crawl, schedule
-from peneira.plans import core
+from peneira.plans import matches
 from peneira.sources import files
 
 
@@ -94,7 +94,7 @@ def test_schedule_matches_of_irregular_payloads(spark, tmp_path):
     ]
     rows = [(n, f"p{n}", p) for n, p in enumerate(payloads)]
     spark.createDataFrame(rows, "raw_id bigint, page_url string, payload string").write.parquet(f"{tmp_path}/raw_schedules.parquet")
-    got = core.schedule_matches(spark, str(tmp_path)).collect()
+    got = matches.schedule_matches(spark, str(tmp_path)).collect()
     assert sorted((r.raw_id, r.event_no, r.home_team, r.away_team, r.broadcasters, r.source_url) for r in got) == [
         (0, 0, "A", "B", "TV", "p0"),
         (1, 1, "C", "D", "", "p1"),
@@ -135,3 +135,49 @@ def test_summaries_file(spark, tmp_path):
     path = str(tmp_path / "d.jsonl")
     open(path, "w").write('{"hash":"a","url":"u"}\n\n{broken\n{"url":"no hash"}\n')
     assert [r.hash for r in files.read_summaries(spark, path).collect()] == ["a"]
+
+
+def test_a_crawl_ends_for_one_of_three_reasons(spark):
+    links = spark.createDataFrame([(f"https://s.com/{k}", f"https://s.com/{j}") for k in range(1, 20) for j in (2 * k, 2 * k + 1)], "page string, url string")
+    seeds = spark.createDataFrame([("https://s.com/1",), ("https://s.com/1/",), (None,)], "url string")
+    ticks = iter(range(100))
+    for config, seconds, reason, pages in ((Config(), 0, "frontier_empty", 39), (Config(max_pages=10), 0, "max_pages", 10), (Config(max_pages=15), 0, "max_pages", 15), (Config(max_depth=2), 0, "frontier_empty", 7), (Config(), 3, "runtime_limit", 3)):
+        found, why = crawl.crawl_run(seeds, links, config, seconds, lambda: next(ticks))
+        assert (why, found.count()) == (reason, pages), (why, reason)
+    assert crawl.crawl_run(seeds.limit(0), links)[1] == "frontier_empty"
+
+
+def test_schedule_kickoffs_are_those_of_the_kickoff_operator(spark, tmp_path):
+    from peneira.operators import kickoff
+
+    days = [("2025-03-09", "16:00"), ("09/03/2025", "16h"), ("9 de março de 2025", None), ("1741546800000", "x"), ("31/02/2025", "10:00"), (None, "10:00"), ("2018-11-04", "00:30"), ("10/12/25 20:00 BRST", "09:00")]
+    future = [{"match": {"firstContestant": "A", "secondContestant": "B", "startDate": a, "startHour": b}} for a, b in days]
+    raw = spark.createDataFrame([(1, "p", json.dumps({"scheduleTeam": {"teamAgenda": {"future": future}}}), None)], "raw_id bigint, page_url string, payload string, fetched_at timestamp_ntz")
+    raw.write.parquet(f"{tmp_path}/raw_schedules.parquet")
+    feeds = spark.createDataFrame([], "feed string, zone_id string, date_order string")
+    records = spark.createDataFrame([], "record_id bigint, feed string, kickoff_iso string, match_date string, match_time string, fetched_at timestamp_ntz")
+    expected = {r.event_no: r.epoch * 1000 for r in kickoff.normalised_kickoffs(kickoff.kickoff_values(records, raw, feeds)).collect()}
+    got = {r.event_no: r.kickoff_ms for r in matches.schedule_kickoffs(spark, str(tmp_path)).collect()}
+    assert got == {k: expected.get(k, schedule.UNKNOWN) for k in range(len(days))} and len(expected) == 6
+    shown = matches.schedule_display(spark, str(tmp_path)).collect()
+    assert [(r.match_date, r.match_time) for r in shown[:3]] == [("09/03/2025", "16:00"), ("09/03/2025", "16:00"), ("09/03/2025", "00:00")] and shown[4].match_date == "Data a definir"
+
+
+def test_client_timestamps(spark):
+    rows = [("2025-03-09T16:00-03:00", "x", "x", 1741546800000), ("2025-03-09T19:00:00.250Z", None, None, 1741546800250), ("", "09/03/2025", "16:30", 1741537800000), (None, "31/02/2025", "25:00", 1741050000000), ("a definir", "Data a definir", "Horario a definir", -2208988800000), (None, None, None, -2208988800000), (None, "1/13/25", "7h", -1388509200000)]
+    df = spark.createDataFrame([r[:3] for r in rows], "i string, d string, h string")
+    assert [r.t for r in df.select(schedule.client_timestamp(F.col("i"), F.col("d"), F.col("h")).alias("t")).collect()] == [r[3] for r in rows]
+
+
+def test_scores_are_rounded_by_their_exact_value(spark):
+    from peneira.operators.search import score_text
+
+    df = spark.createDataFrame([(10.24705,), (0.03125,), (2.0,), (None,)], "v double")
+    assert [r.t for r in df.select(score_text(F.col("v")).alias("t")).collect()] == ["10.2470", "0.0313", "2.0000", None]
+
+
+def test_csv_keeps_blanks_and_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(" a ", 'say "x"', "c,d", "e")], "name string, position string, team string, sourceUrl string")
+    for _ in range(2):
+        files.append_csv(df, f"{tmp_path}/c")
+    assert files.read_csv(spark, f"{tmp_path}/c", files.PLAYERS).collect() == df.collect() * 2
