@@ -6,9 +6,10 @@ positions are skipped; where a window may end, the bucket of those words has the
 positions to compare directly. Symbols are words, so the comparison is exact whatever the
 spelling of case, accents, punctuation and spacing.
 
-Every document is searched where it is read, without a shuffle. The tables of the items
-travel by broadcast; their size is checked, and items beyond the bound make further
-blocks, each searched against all documents.
+Every document is searched where it is read, without a shuffle. The texts of the items
+travel by broadcast, and each worker builds its tables of them once; their size is checked,
+and items beyond the bound make further blocks, each searched against all documents. Of
+several blocks each one's result is written and its broadcast freed before the next.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from peneira.functions.pytext import words
+from peneira.session import durable
 
 LENGTH = 13
 BLOCK = 3
@@ -88,23 +90,28 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
     schema = T.StructType([source.schema[0], T.StructField("item_id", T.LongType())])
-    parts = []
-    for block in blocks(items, item_id, item_text, per_block):
-        table = spark.sparkContext.broadcast(Patterns(block, length))
-
-        def search(batches: Iterable[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            patterns = table.value
+    result = None
+    found = blocks(items, item_id, item_text, per_block)
+    block = next(found)
+    while block is not None:
+        following = next(found, None)
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            patterns = Patterns(shared.value, length)
             for batch in batches:
                 at: list[int] = []
                 ids: list[int] = []
                 for i, t in enumerate(batch.column(1)):
-                    found = patterns.find(t.as_py())
-                    ids += found
-                    at += [i] * len(found)
+                    hits = patterns.find(t.as_py())
+                    ids += hits
+                    at += [i] * len(hits)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int64())], ["doc_id", "item_id"])
 
-        parts.append(source.mapInArrow(search, schema))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.union(p)
+        part = source.mapInArrow(search, schema)
+        if result is not None or following is not None:
+            part = durable(part)
+            shared.destroy()
+        result = part if result is None else result.union(part)
+        block = following
     return result
