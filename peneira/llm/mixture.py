@@ -14,6 +14,7 @@ whole billionths, so sums are exact in any order.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The public pattern by which byte-level BPE vocabularies of this kind cut a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNIT = 1_000_000_000
-BUCKETS = 512
+#: Least number of buckets of a source, and the records that a bucket holds on average at most.
+BUCKETS, RECORDS_PER_BUCKET = 512, 1_000_000
 
 _loaded: dict[str, object] = {}
 
@@ -82,8 +84,11 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return joined.withColumn("copies", F.floor(copies * UNIT).cast("bigint"))
 
 
-def systematic(sizes: DataFrame, planned: DataFrame, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, source, tokens, copies) of the records drawn at least once. The same seed draws the same."""
+def systematic(sizes: DataFrame, planned: DataFrame, seed: int = 42, buckets: int | None = None) -> DataFrame:
+    """(doc_id, source, tokens, copies) of the records drawn at least once. The same seed draws the same; buckets follow from the records, not from the session."""
+    if buckets is None:
+        most = planned.agg(F.coalesce(F.max("records"), F.lit(0))).first()[0]
+        buckets = max(BUCKETS, 1 << math.ceil(math.log2(max(most / RECORDS_PER_BUCKET, 1))))
     # One row a target source: its copies go along with each record.
     rated = sizes.join(F.broadcast(planned.where("copies > 0").select("source", F.col("copies").alias("expected"))), "source")
     placed = rated.withColumn("place", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))).withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))

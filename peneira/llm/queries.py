@@ -68,7 +68,8 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Every document's nearest language, its divergences from that language's references, and whether it is to be counted."""
-    return repetition.document_divergence(table(spark, d, "documents"))
+    found = repetition.document_divergence(table(spark, d, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_kept, p5_found, p6_found, p7_mixture, p7_shares, p8_found, p8_repetition, p8_divergence)}
@@ -98,7 +99,44 @@ marked as (select doc_id, count(distinct i + o) as n from again, (select unnest(
 r as (select w.doc_id, cast(len(w.w) as bigint) as words, cast(coalesce(n, 0) as bigint) as repeated_words from w left join marked using (doc_id))
 """
 
+
+
+def _entropy(x: str) -> str:
+    return f"(-list_sum(list_transform({x}, lambda v: case when v > 0 then v * log2(v) else 0.0::double end)))"
+
+
+def _js(p: str, q: str) -> str:
+    mean = f"list_transform(list_zip({p}, {q}), lambda z: (z[1] + z[2]) / 2)"
+    return f"greatest({_entropy(mean)} - ({_entropy(p)} + {_entropy(q)}) / 2, 0.0::double)"
+
+
+def _doubles(values: tuple[float, ...]) -> str:
+    return "[" + ", ".join(f"{v}::double" for v in values) + "]"
+
+
+# The share of words that recur is 4/5 of the share that is repeated at least; a document of 30 % is as far from the reference at least.
+_LANGUAGES = ", ".join(
+    f"({k}, '{name}', {share}::double, string_split('{words}', ' '), {_doubles(repetition.CLASS_SHARES[name])})" for k, (name, (share, words)) in enumerate(repetition.COMMON_WORDS.items())
+)
+_DIVERGENCE = f"""
+with g(k, name, share, common, shares) as (values {_LANGUAGES}),
+w as (select doc_id, coalesce(text, '') as text, {_WORDS.format("coalesce(text, '')")} as w from documents),
+u as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+v as (select doc_id, i, x, lag(x) over (partition by doc_id order by i) as before from u),
+r as (select doc_id, x, before is not null and row_number() over (partition by doc_id, before, x order by i) > 1 as recurs from v),
+c as (select doc_id, k, list_contains(common, x) as c, recurs from r, g),
+h as (select doc_id, k, count(*) as n, [count(*) filter (c and recurs) / count(*), count(*) filter (c and not recurs) / count(*), count(*) filter (not c and recurs) / count(*), count(*) filter (not c and not recurs) / count(*)] as cells from c group by 1, 2),
+q as (select doc_id, length(text) as n, len(regexp_extract_all(text, '\\p{{L}}')) as letters, len(regexp_extract_all(text, '\\p{{Lu}}')) as capitals, len(regexp_extract_all(text, '\\p{{Nd}}')) as digits,
+  len(regexp_extract_all(text, '[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]')) as blanks from w where text <> ''),
+s as (select doc_id, [(letters - capitals) / n, capitals / n, digits / n, blanks / n, (n - letters - digits - blanks) / n] as classes from q),
+j as (select h.doc_id, h.n, k, name, {_js('classes', 'shares')} as cd, {_js('cells', f'[share * {repetition.RECURRING}::double, share * (1 - {repetition.RECURRING}::double), (1 - share) * {repetition.RECURRING}::double, (1 - share) * (1 - {repetition.RECURRING}::double)]')} as wd
+  from h join s using (doc_id) join g using (k)),
+b as (select * from j qualify row_number() over (partition by doc_id order by cd + wd, k) = 1)
+select w.doc_id, cast(len(w.w) as bigint) as words, name as language, round(cd, 6) as class_divergence, round(wd, 6) as word_divergence,
+coalesce(len(w.w) > 0 and (len(w.w) < 20 or (cd + wd) / 2 >= {_js('[0.24::double, 0.76::double]', f'[{repetition.RECURRING}::double, 1 - {repetition.RECURRING}::double]')} / 2), false) as suspected from w left join b using (doc_id)"""
+
 ORACLE = {
+    "p8_divergence": _DIVERGENCE,
     "p1_found": _TERM_CTE + "select origin, term, verdict from r where verdict <> ''",
     "p1_term_frequencies": _TERM_CTE + "select origin, term, total_frequency, cast(pages as bigint) as pages, verdict from r",
     "p6_found": f"""
