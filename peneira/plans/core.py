@@ -437,11 +437,11 @@ def _sql_list(patterns: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{p}'" for p in patterns) + "]"
 
 
-def _sql_blocked(host: str, path: str) -> str:
+def _sql_blocked(host: str, path: str, endings: bool = True) -> str:
     """Whether one of the fixed patterns or endings holds, each tried by itself."""
     hit = lambda x, patterns: f"len(list_filter({_sql_list(patterns)}, lambda p: regexp_matches({x}, p))) > 0"
     ending = f"len(list_filter({_sql_list(dims.BLOCKED_ENDINGS)}, lambda p: ends_with(lower({path}), p))) > 0"
-    return f"({hit(host, dims.BLOCKED_HOSTS)} or {hit(f'lower({path})', dims.BLOCKED_PATHS)} or {ending})"
+    return f"({hit(host, dims.BLOCKED_HOSTS)} or {hit(f'lower({path})', dims.BLOCKED_PATHS)}" + (f" or {ending})" if endings else ")")
 
 
 @query(f"with v as ({_U}), {_PARTS} select doc_id, canonical from k")
@@ -450,7 +450,7 @@ def url_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _variants(spark, d).select("doc_id", urls.canonical(F.col("u")).alias("canonical"))
 
 
-@query(f"""with v as ({_U}), {_PARTS} select doc_id, {_sql_blocked('host', 'path')} or {_sql_blocked("''", 'lower(canonical)')} as blocked from k""")
+@query(f"""with v as ({_U}), {_PARTS} select doc_id, {_sql_blocked('host', 'path')} or {_sql_blocked("''", 'canonical', endings=False)} as blocked from k""")
 def url_blocked(spark: SparkSession, d: str) -> DataFrame:
     """Addresses that are not crawled."""
     return _variants(spark, d).select("doc_id", urls.is_blocked(F.col("u")).alias("blocked"))
@@ -601,9 +601,6 @@ def rate_schedule(spark: SparkSession, d: str) -> DataFrame:
 # Schedules ----------------------------------------------------------------------------------------
 
 
-_ISO_MS = "epoch_ms(try_strptime(kickoff_iso, ['%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%dT%H:%M:%S.%gZ']))"
-
-
 def _iso_millis(c):  # noqa: ANN001, ANN202
     forms = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return F.unix_millis(F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in forms)))
@@ -621,18 +618,14 @@ def _kickoffs(spark: SparkSession, d: str) -> DataFrame:
     return matches.join(read, "record_id", "left").select("record_id", "home_team", ms.alias("kickoff_ms"))
 
 
-@query(f"""with m as (select home_team, {_ISO_MS} as kickoff_ms from match_records where home_team is not null),
-r as (select *, row_number() over (partition by home_team order by kickoff_ms) as place from m where kickoff_ms between {NOW_MS} and {NOW_MS} + 14 * 86400000)
-select home_team, cast(place as int) as place, kickoff_ms from r where place <= 3""")
+@query()
 def upcoming_matches(spark: SparkSession, d: str) -> DataFrame:
     """M1, P10: each home team's next three kickoffs within two weeks."""
     rows = _kickoffs(spark, d).where("home_team is not null")
     return schedule.upcoming(rows, "home_team", "kickoff_ms", NOW_MS).select("home_team", "place", "kickoff_ms")
 
 
-@query(f"""with m as (select record_id, {_ISO_MS} as ms from match_records)
-select record_id, case when ms is null then 'Data a definir' else strftime(timezone('America/Sao_Paulo', to_timestamp(ms / 1000)), '%d/%m/%Y') end as match_date,
-case when ms is null then 'Horario a definir' else strftime(timezone('America/Sao_Paulo', to_timestamp(ms / 1000)), '%H:%M') end as match_time from m""")
+@query()
 def kickoff_display(spark: SparkSession, d: str) -> DataFrame:
     """Kickoffs as they are shown."""
     day, hour, _ = schedule.displayed(F.col("kickoff_ms"), CONFIG.time_zone)

@@ -137,7 +137,7 @@ QUERIES = {
 }
 
 _KEYS = f"with v as ({core._U}), {core._PARTS}"
-_OK = f"not ({core._sql_blocked('host', 'path')}) and not ({core._sql_blocked(chr(39) * 2, 'lower(canonical)')})"
+_OK = f"not ({core._sql_blocked('host', 'path')}) and not ({core._sql_blocked(chr(39) * 2, 'canonical', endings=False)})"
 _REBUILT = f"""with r as (select *, {core._PSEUDO} as text, row_number() over (partition by raw_html_hash order by ingested_at, url, to_json(lexical.top_terms)) as n from crawl_summaries
   where lexical is not null and coalesce(raw_html_hash, '') <> '' and coalesce(url, '') <> '' and fetched_at is not null and status is not null and trim(coalesce({core._PSEUDO}, '')) <> ''),
 a1 as (select raw_html_hash as h, list_filter({core._sql_index_tokens('text')}, lambda t: not list_contains({core._STOP}, t)) as tokens from r where n = 1),
