@@ -22,17 +22,18 @@ from peneira.config import Config
 from peneira.functions.pystem import stem
 from peneira.functions.stemmer import stems
 from peneira.functions.text import index_tokens, lexical_summary, without_stopwords
+from peneira.session import durable
 
 
 def first_of_hash(docs: DataFrame, hash_column: str, id_column: str, order_by: str) -> DataFrame:
     """The rows that came first of each content hash; rows without hash are left out, ties go to the smallest id.
 
-    Only the hashes of several rows, found from three small columns with combining before the shuffle, are joined to the documents: a small table that
-    the planner broadcasts while its size allows, so texts aren't shuffled.
+    Only the hashes of several rows, found from three small columns with combining before the shuffle, are joined to the documents: a table that is
+    written first, so that the planner knows its size and broadcasts it while that allows; texts aren't shuffled then.
     """
     known = docs.where(F.col(hash_column).isNotNull())
     first = known.groupBy(hash_column).agg(F.count("*").alias("__n"), F.min(F.struct(F.col(order_by), F.col(id_column))).alias("__w")).where("__n > 1")
-    winners = first.select(hash_column, F.col(f"__w.{id_column}").alias("__first"))
+    winners = durable(first.select(hash_column, F.col(f"__w.{id_column}").alias("__first")))
     joined = known.join(winners, hash_column, "left")
     return joined.where(F.col("__first").isNull() | (F.col("__first") == F.col(id_column))).select(*docs.columns)
 
