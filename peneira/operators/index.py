@@ -107,6 +107,22 @@ def document_terms(docs: DataFrame, doc_id: str, stemmed: bool = True) -> DataFr
     return _by_document(docs, doc_id, "tokens", ["term", "term_frequency"], [T.StringType(), T.LongType()], rows)
 
 
+def document_vectors(docs: DataFrame, keep: list[str], stemmed: bool = True) -> DataFrame:
+    """(kept columns, terms, counts): each document's terms in order and how often it has each, on its row."""
+    source = docs.select(*keep, "tokens")
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                found = [sorted(Counter(map(stem, t or []) if stemmed else t or []).items()) for t in part.column(len(keep)).to_pylist()]
+                terms, counts = (pa.array([[x[k] for x in f] for f in found], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int64())))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], terms, counts], [*keep, "terms", "counts"])
+
+    return source.mapInArrow(run, schema)
+
+
 def frequencies_by_size(terms: DataFrame, config: Config = Config()) -> DataFrame:
     """(chunk_size, term, doc_frequency) of document_terms: one combined shuffle by term. A document has a term in some chunk whatever the chunks' size."""
     counted = terms.groupBy("term").agg(F.count("*").alias("doc_frequency"))

@@ -298,6 +298,7 @@ def _one_query(spark: SparkSession) -> DataFrame:
 
 
 _indexes: dict[tuple[str, str, bool], search.StoredIndex] = {}
+_by_document: dict[tuple[str, str, bool], search.DocumentIndex] = {}
 
 
 def _index(spark: SparkSession, d: str, enriched: bool = False) -> search.StoredIndex:
@@ -314,6 +315,23 @@ def _index(spark: SparkSession, d: str, enriched: bool = False) -> search.Stored
     return _indexes[key]
 
 
+def _documents(spark: SparkSession, d: str, enriched: bool = False) -> search.DocumentIndex:
+    """The index by document of a data folder, for batches of queries, likewise; enriched: of documents with what their summary rows add."""
+    key = (spark.sparkContext.applicationId, d, enriched)
+    if key not in _by_document:
+        docs = _analyzed(spark, d, "url", "title", "status").select(F.col(HASH).alias("doc_id"), "url", "title", F.size("tokens").cast("bigint").alias("token_count"), F.col("doc_id").alias("doc_ord"), "fetched_at", "status", "tokens")
+        vectors = index.document_vectors(docs, docs.columns[:-1])
+        if enriched:
+            vectors = durable(vectors)
+            merged = search.merged_summaries(vectors.select("doc_id", "title", "fetched_at", "status", "token_count"), _summaries(spark, d))
+            features = vectors.select("doc_id", "url", "doc_ord", "terms", "counts").join(merged, "doc_id")
+            _by_document[key] = search.by_document(search.search_documents(features, CONFIG))
+            release(vectors)
+        else:
+            _by_document[key] = search.by_document(search.search_documents(vectors, CONFIG))
+    return _by_document[key]
+
+
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
     """The summary rows in the order in which they came; of rows of one moment one with a status is the earlier."""
     ord_ = F.unix_micros(F.col("ingested_at").cast("timestamp")) * 1000 + F.col("status").isNull().cast("int")
@@ -347,7 +365,7 @@ def _search(spark: SparkSession, d: str, enriched: bool = False, **options) -> D
 @query(f"with {_SEARCH} select query_id, doc_id, round(base, 6) as base, terms_matched from base")
 def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
     """Q2-Q7: base scores of every match of a batch of queries."""
-    return _scores(spark, d, _queries(spark, d))[1].select("query_id", "doc_id", F.round("base", 6).alias("base"), "terms_matched")
+    return search.batch_scores(_queries(spark, d), _documents(spark, d), CONFIG)
 
 
 @query(f"""with {_SEARCH}, r as (select *, round(base, 6) as score from base join feats using (doc_id) where query_id = 1)
