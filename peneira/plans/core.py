@@ -395,7 +395,7 @@ def search_enriched(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_BOOSTED} select query_id, count(*) as kept from sc where raw >= 3 group by 1")
 def min_score(spark: SparkSession, d: str) -> DataFrame:
     """How many results of each query reach a least score."""
-    return _search(spark, d, limit=2**31 - 2, min_score=3.0).groupBy("query_id").agg(F.count("*").alias("kept"))
+    return search.reached(_queries(spark, d), _documents(spark, d), 3.0, CONFIG)
 
 
 @query(f"""with {_BOOSTED} select query_id, doc_id, round(c1, 6) as title_coverage, round(c2, 6) as url_coverage, round(team_factor, 6) as team_factor from sc""")

@@ -50,6 +50,13 @@ def test_bm25_multi_query_shuffles_no_matches(spark, data):
     assert shuffled(df) == [] and df.count() > 500
 
 
+def test_min_score_shuffles_counts(spark, data):
+    df = core.min_score(spark, data)
+    assert "Window" not in plan(df) and shuffled(df) == ["query_id"]
+    ranked = search.batch_search(core._queries(spark, data), core._documents(spark, data), core.CONFIG, limit=2**31 - 2, min_score=3.0)
+    assert sorted(df.collect()) == sorted(ranked.groupBy("query_id").agg(F.count("*").alias("kept")).collect()) != []
+
+
 def test_scores_are_those_of_the_index_by_term(spark, parts):
     queries, docs, by_document = parts
     terms = search.query_terms(search.expanded_tokens(queries))
