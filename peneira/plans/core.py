@@ -383,7 +383,7 @@ _PLACES = "r as (select *, round(raw, 6) as score from sc), p as (select *, row_
 @query(f"""with {_BOOSTED}, {_PLACES} select query_id, cast(place as int) as place, doc_id, url, title, score, terms_matched, token_count, fetched_at, status from p where place <= 20""")
 def search_boosted(spark: SparkSession, d: str) -> DataFrame:
     """The whole search of a batch of queries, twenty results each."""
-    return _search(spark, d)
+    return search.batch_search(_queries(spark, d), _documents(spark, d), CONFIG)
 
 
 @query(f"""with {_ENRICHED}, {_PLACES} select query_id, cast(place as int) as place, doc_id, url, title, score, terms_matched, token_count, fetched_at, status from p where place <= 20""")

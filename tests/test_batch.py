@@ -57,6 +57,14 @@ def test_min_score_shuffles_counts(spark, data):
     assert sorted(df.collect()) == sorted(ranked.groupBy("query_id").agg(F.count("*").alias("kept")).collect()) != []
 
 
+@pytest.mark.parametrize("name", ["search_boosted"])
+def test_results_are_chosen_at_the_documents(spark, data, name):
+    df = getattr(core, name)(spark, data)
+    # Matches were joined to queries and documents, and ranked in slices, by shuffles of all of them.
+    assert "MapInArrow" in plan(df) and "slice" not in plan(df) and set(shuffled(df)) <= {"query_id", "doc_id"}
+    assert df.count() > 500
+
+
 def test_scores_are_those_of_the_index_by_term(spark, parts):
     queries, docs, by_document = parts
     terms = search.query_terms(search.expanded_tokens(queries))
