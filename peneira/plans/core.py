@@ -401,15 +401,7 @@ def min_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_BOOSTED} select query_id, doc_id, round(c1, 6) as title_coverage, round(c2, 6) as url_coverage, round(team_factor, 6) as team_factor from sc""")
 def coverage_and_team_factor(spark: SparkSession, d: str) -> DataFrame:
     """Q8, Q10, Q11: coverage and team factor of every match."""
-    queries = _queries(spark, d)
-    stored, hits = _scores(spark, d, queries)
-    expanded = search.expanded_tokens(queries, CONFIG)
-    bags = expanded.groupBy("query_id").agg(F.collect_list("token").alias("tokens"))
-    own = queries.select("query_id", text.query_tokens(F.col("query")).alias("own"))
-    j = hits.select("query_id", "doc_id").join(bags, "query_id").join(own, "query_id").join(stored.features, "doc_id")
-    cover = lambda f: F.round(search.coverage(F.col("tokens"), F.col(f)), 6)
-    factor = search.team_factor(F.col("own"), F.col("title_tokens"), F.col("url_tokens"), F.col("normalized_domain"), CONFIG)
-    return j.select("query_id", "doc_id", cover("title_tokens").alias("title_coverage"), cover("url_tokens").alias("url_coverage"), F.round(factor, 6).alias("team_factor"))
+    return search.batch_factors(_queries(spark, d), _documents(spark, d), CONFIG)
 
 
 _WEIGHTED = [(1, "Jogo do Flamengo feminino"), (2, "agenda do brasileirao para assistir"), (3, "")]

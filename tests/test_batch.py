@@ -50,6 +50,11 @@ def test_bm25_multi_query_shuffles_no_matches(spark, data):
     assert shuffled(df) == [] and df.count() > 500
 
 
+def test_coverage_and_team_factor_shuffles_no_matches(spark, data):
+    df = core.coverage_and_team_factor(spark, data)
+    assert shuffled(df) == [] and df.count() > 500
+
+
 def test_min_score_shuffles_counts(spark, data):
     df = core.min_score(spark, data)
     assert "Window" not in plan(df) and shuffled(df) == ["query_id"]
