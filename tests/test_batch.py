@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peneira.operators import batch, index, search
-from peneira.plans import core
+from peneira.plans import core, stores
 from tests.test_index_search import analyzed
 
 TEXTS = [
@@ -62,9 +62,9 @@ def test_min_score_shuffles_counts(spark, data):
     assert sorted(df.collect()) == sorted(ranked.groupBy("query_id").agg(F.count("*").alias("kept")).collect()) != []
 
 
-@pytest.mark.parametrize("name", ["search_boosted"])
+@pytest.mark.parametrize("name", ["search_boosted", "score_display"])
 def test_results_are_chosen_at_the_documents(spark, data, name):
-    df = getattr(core, name)(spark, data)
+    df = (stores.score_display if name == "score_display" else getattr(core, name))(spark, data)
     # Matches were joined to queries and documents, and ranked in slices, by shuffles of all of them.
     assert "MapInArrow" in plan(df) and "slice" not in plan(df) and set(shuffled(df)) <= {"query_id", "doc_id"}
     assert df.count() > 500
