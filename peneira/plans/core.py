@@ -297,19 +297,16 @@ def _one_query(spark: SparkSession) -> DataFrame:
     return dims.frame(spark, [SEARCHES[0]], "query_id bigint, query string")
 
 
-_indexes: dict[tuple[str, str, bool], search.StoredIndex] = {}
+_indexes: dict[tuple[str, str], search.StoredIndex] = {}
 _by_document: dict[tuple[str, str, bool], search.DocumentIndex] = {}
 
 
-def _index(spark: SparkSession, d: str, enriched: bool = False) -> search.StoredIndex:
-    """The stored index of a data folder, built by the first query of a session that asks for it."""
-    key = (spark.sparkContext.applicationId, d, enriched)
+def _index(spark: SparkSession, d: str) -> search.StoredIndex:
+    """The index by term of a data folder, for a single query; built by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
         docs = durable(_analyzed(spark, d, "url", "title", "status").select("doc_id", HASH, "url", "title", "fetched_at", "status", "tokens"))
         features = docs.select(F.col(HASH).alias("doc_id"), "url", "title", F.size("tokens").cast("bigint").alias("token_count"), F.col("doc_id").alias("doc_ord"), "fetched_at", "status")
-        if enriched:
-            merged = search.merged_summaries(features.select("doc_id", "title", "fetched_at", "status", "token_count"), _summaries(spark, d))
-            features = features.select("doc_id", "url", "doc_ord").join(merged, "doc_id")
         _indexes[key] = search.store(index.document_terms(docs, HASH), search.search_documents(features, CONFIG), shared_folder(spark, "index"))
         release(docs)
     return _indexes[key]
@@ -341,7 +338,7 @@ def _summaries(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_POSTS} select count(distinct doc_id) as documents, count(distinct term) as terms, count(*) as rows_, cast(sum(tf) as bigint) as tokens from (select doc_id, term, sum(term_frequency) as tf from posts where chunk_size = 160 group by all)")
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """The stored index, written anew and read again, in numbers."""
-    _indexes.pop((spark.sparkContext.applicationId, d, False), None)
+    _indexes.pop((spark.sparkContext.applicationId, d), None)
     return _index(spark, d).terms.agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("term").alias("terms"), F.count("*").alias("rows_"), F.sum("term_frequency").alias("tokens"))
 
 
@@ -351,17 +348,6 @@ def synonym_expand(spark: SparkSession, d: str) -> DataFrame:
     return search.expanded_tokens(_queries(spark, d), CONFIG)
 
 
-def _scores(spark: SparkSession, d: str, queries: DataFrame) -> tuple[search.StoredIndex, DataFrame]:
-    stored = _index(spark, d)
-    terms = search.query_terms(search.expanded_tokens(queries, CONFIG), CONFIG)
-    return stored, search.base_scores(terms, stored.terms, stored.features, CONFIG, (stored.known, stored.average))
-
-
-def _search(spark: SparkSession, d: str, enriched: bool = False, **options) -> DataFrame:
-    stored = _index(spark, d, enriched)
-    return search.search(_queries(spark, d), stored.terms, stored.features, CONFIG, totals=(stored.known, stored.average), **options)
-
-
 @query(f"with {_SEARCH} select query_id, doc_id, round(base, 6) as base, terms_matched from base")
 def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
     """Q2-Q7: base scores of every match of a batch of queries."""
@@ -372,7 +358,9 @@ def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
 select doc_id, score, terms_matched from r order by score desc, first_ord, doc_ord limit 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: the ten best documents of one query by BM25 alone."""
-    stored, scores = _scores(spark, d, _one_query(spark))
+    stored = _index(spark, d)
+    terms = search.query_terms(search.expanded_tokens(_one_query(spark), CONFIG), CONFIG)
+    scores = search.base_scores(terms, stored.terms, stored.features, CONFIG, (stored.known, stored.average))
     scored = scores.join(stored.features.select("doc_id", "doc_ord"), "doc_id").withColumn("score", F.round("base", 6))
     return search.top_k(scored, 10).select("doc_id", "score", "terms_matched")
 
@@ -389,7 +377,7 @@ def search_boosted(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_ENRICHED}, {_PLACES} select query_id, cast(place as int) as place, doc_id, url, title, score, terms_matched, token_count, fetched_at, status from p where place <= 20""")
 def search_enriched(spark: SparkSession, d: str) -> DataFrame:
     """Q13 with Q14, P14: the same where documents have what their summary rows add."""
-    return _search(spark, d, enriched=True)
+    return search.batch_search(_queries(spark, d), _documents(spark, d, enriched=True), CONFIG)
 
 
 @query(f"with {_BOOSTED} select query_id, count(*) as kept from sc where raw >= 3 group by 1")

@@ -62,7 +62,7 @@ def test_min_score_shuffles_counts(spark, data):
     assert sorted(df.collect()) == sorted(ranked.groupBy("query_id").agg(F.count("*").alias("kept")).collect()) != []
 
 
-@pytest.mark.parametrize("name", ["search_boosted", "score_display"])
+@pytest.mark.parametrize("name", ["search_boosted", "score_display", "search_enriched"])
 def test_results_are_chosen_at_the_documents(spark, data, name):
     df = (stores.score_display if name == "score_display" else getattr(core, name))(spark, data)
     # Matches were joined to queries and documents, and ranked in slices, by shuffles of all of them.
