@@ -10,6 +10,7 @@ documents for each query, a count for each query, or a document with its hits.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -26,6 +27,10 @@ from peneira.dims import DOMAIN_BOOSTS
 QUERIES_PER_BLOCK = 25_000
 #: Pairs of document and query that are scored at a time.
 CELLS = 500_000
+#: Documents whose words are encoded at a time, if a slice isn't larger.
+ENCODED = 1000
+#: Texts of which it is kept which words they contain.
+SEEN = 10_000
 #: Up to so many results of a query are chosen in a task already.
 CHOSEN = 1000
 
@@ -43,6 +48,12 @@ class Asked:
         flat = np.array([x for p in parts.values() for x in p], np.int64).reshape(-1, 2)
         self.query, self.value = flat[:, 0].copy(), flat[:, 1].copy()
 
+    def of_queries(self, queries: np.ndarray) -> Asked:
+        """The same with queries numbered by their place among some, which are all that ask."""
+        out = copy(self)
+        out.query = np.searchsorted(queries, self.query)
+        return out
+
     def cells(self, rows: np.ndarray, words: np.ndarray, queries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of words of rows: the cells (row x queries + query) of the queries that ask for them, where in the arrays these are, and how many each word has."""
         n = self.count[words]
@@ -54,19 +65,19 @@ class Substrings:
     """Which of some words a text contains, found by their first letters."""
 
     def __init__(self, words: Iterable[str]):
+        self.seen: dict[str, list[int]] = {}
         self.heads: dict[int, dict[str, list[tuple[str, int]]]] = {}
         for i, word in enumerate(words):
             head = next((h for h in (16, 8, 3, 1) if len(word) >= h), 0)
             self.heads.setdefault(head, {}).setdefault(word[:head], []).append((word, i))
 
     def of(self, text: str) -> list[int]:
-        found = set()
-        for head, words in self.heads.items():
-            for start in range(max(1, len(text) - head + 1)):
-                for word, i in words.get(text[start : start + head], ()):
-                    if text.startswith(word, start):
-                        found.add(i)
-        return sorted(found)
+        found = self.seen.get(text)
+        if found is None:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            found = self.seen[text] = sorted(i for head, words in self.heads.items() for h in words.keys() & {text[k : k + head] for k in range(max(1, len(text) - head + 1))} for word, i in words[h] if word in text)
+        return found
 
 
 @dataclass
@@ -89,6 +100,9 @@ class Block:
     def __post_init__(self) -> None:
         self.in_title, self.in_domain = Substrings(self.wholes.at), Substrings(self.words.at)
         self.teams_in_title, self.teams_in_domain = Substrings(self.title_teams.at), Substrings(self.teams.at)
+        #: The queries that ask for teams, and teams with these alone.
+        self.asking = np.unique(self.teams.query)
+        self.asked_teams = self.teams.of_queries(self.asking)
 
 
 def blocks(rows: Iterable, idf_of: Callable[[list[str]], dict[str, float]], average: float, config: Config, per_block: int) -> Iterator[Block]:
@@ -128,16 +142,37 @@ def _once(rows: np.ndarray, words: np.ndarray, count: int) -> tuple[np.ndarray,
     return both // max(1, count), both % max(1, count)
 
 
+class Encoded:
+    """Documents whose words are encoded once for all slices of them."""
+
+    def __init__(self, block: Block, batch: pa.RecordBatch):
+        self.block, self.batch = block, batch
+        self.done: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+        self.rows, self.terms, kept = _encoded(batch.column("terms"), block.terms.at)
+        self.tf = np.array(batch.column("counts").flatten(), np.float64)[kept]
+
+    def words(self, column: str, asked: str, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the n documents from start on: document and number of each word of a field that is asked for, each once."""
+        if (column, asked) not in self.done:
+            at = getattr(self.block, asked).at
+            rows, numbers, _ = _encoded(self.batch.column(column), at)
+            self.done[column, asked] = _once(rows, numbers, len(at))
+        rows, numbers = self.done[column, asked]
+        first, end = np.searchsorted(rows, (start, start + n))
+        return rows[first:end] - start, numbers[first:end]
+
+
 class Slice:
     """Some documents against all queries of a block: base has a row a document and a column a query, 0 where nothing matches."""
 
-    def __init__(self, block: Block, batch: pa.RecordBatch):
-        self.block, self.batch, self.n, self.q = block, batch, batch.num_rows, len(block.ids)
-        rows, words, kept = _encoded(batch.column("terms"), block.terms.at)
-        tf = np.array(batch.column("counts").flatten(), np.float64)[kept]
-        part = self._bm25(tf, rows, block.idf[words])
+    def __init__(self, encoded: Encoded, start: int, size: int):
+        self.block, self.encoded, self.start, self.batch = encoded.block, encoded, start, encoded.batch.slice(start, size)
+        self.n, self.q = self.batch.num_rows, len(self.block.ids)
+        first, end = np.searchsorted(encoded.rows, (start, start + self.n))
+        rows, words = encoded.rows[first:end] - start, encoded.terms[first:end]
+        part = self._bm25(encoded.tf[first:end], rows, self.block.idf[words])
         above = part > 0
-        self.cell, self.at, n = block.terms.cells(rows[above], words[above], self.q)
+        self.cell, self.at, n = self.block.terms.cells(rows[above], words[above], self.q)
         self.base = np.bincount(self.cell, np.repeat(part[above], n), self.n * self.q)
 
     def _bm25(self, tf: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -152,65 +187,72 @@ class Slice:
         return np.bincount(self.cell, minlength=self.n * self.q)
 
     def of_cells(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many terms of the query a cell's document has, and the place of the first."""
-        where = np.full(self.n * self.q, -1, np.int64)
-        where[cells] = np.arange(len(cells))
-        mine = where[self.cell]
-        chosen = mine >= 0
+        """How many terms of the query a cell's document has, and the place of the first. cells: in ascending order."""
+        asked = np.zeros(self.n * self.q, bool)
+        asked[cells] = True
+        chosen = np.flatnonzero(asked[self.cell])
+        mine = np.searchsorted(cells, self.cell[chosen])
         first = np.full(len(cells), np.iinfo(np.int64).max)
-        np.minimum.at(first, mine[chosen], self.block.terms.value[self.at[chosen]])
-        return np.bincount(mine[chosen], minlength=len(cells)), first
+        np.minimum.at(first, mine, self.block.terms.value[self.at[chosen]])
+        return np.bincount(mine, minlength=len(cells)), first
 
     def coverage(self, column: str) -> np.ndarray:
         """Share of each query's words that a document's field has."""
-        words = self.block.words
-        rows, numbers, _ = _encoded(self.batch.column(column), words.at)
-        cell, _, _ = words.cells(*_once(rows, numbers, len(words.at)), self.q)
+        cell, _, _ = self.block.words.cells(*self.encoded.words(column, "words", self.start, self.n), self.q)
         return (np.bincount(cell, minlength=self.n * self.q).reshape(self.n, self.q) / self.block.size).ravel()
 
-    def containing(self, column: str, words: Asked, substrings: Substrings) -> np.ndarray:
-        """The cells of the queries that ask for a word which a document's text contains, each once."""
-        seen: dict[str, list[int]] = {}
+    def containing(self, column: str, words: Asked, substrings: Substrings, queries: int | None = None) -> np.ndarray:
+        """The cells of the queries that ask for a word which a document's text contains; those of several such words are repeated."""
         rows, numbers = [], []
         for row, text in enumerate(self.batch.column(column).to_pylist()):
             if text is None:
                 continue
-            found = seen.get(text)
-            if found is None:
-                found = seen[text] = substrings.of(text)
+            found = substrings.of(text)
             rows += [row] * len(found)
             numbers += found
-        return np.unique(words.cells(np.array(rows, np.int64), np.array(numbers, np.int64), self.q)[0])
+        return words.cells(np.array(rows, np.int64), np.array(numbers, np.int64), self.q if queries is None else queries)[0]
 
-    def team_factor(self) -> np.ndarray:
-        """search.team_factor; queries without teams have 1."""
-        block, config = self.block, self.block.config
-        out = np.ones(self.n * self.q)
-        if not block.teams.at:
-            return out
-        asking = np.zeros(self.q, bool)
-        asking[block.teams.query] = True
+    def team_factors(self) -> np.ndarray:
+        """search.team_factor of the queries that ask for teams, a column each."""
+        block, config, q = self.block, self.block.config, len(self.block.asking)
         share = []
         for column in ("title_tokens", "url_tokens"):
-            rows, numbers, _ = _encoded(self.batch.column(column), block.teams.at)
-            cell, at, _ = block.teams.cells(*_once(rows, numbers, len(block.teams.at)), self.q)
-            share.append(np.bincount(cell, block.teams.value[at], self.n * self.q).reshape(self.n, self.q)[:, asking] / block.team_size[asking])
-        on_domain = np.zeros(self.n * self.q, bool)
-        on_domain[self.containing("normalized_domain", block.teams, block.teams_in_domain)] = True
-        on_domain = on_domain.reshape(self.n, self.q)[:, asking]
+            cell, at, _ = block.asked_teams.cells(*self.encoded.words(column, "teams", self.start, self.n), q)
+            share.append(np.bincount(cell, block.asked_teams.value[at], self.n * q).reshape(self.n, q) / block.team_size[block.asking])
+        on_domain = np.zeros(self.n * q, bool)
+        on_domain[self.containing("normalized_domain", block.asked_teams, block.teams_in_domain, q)] = True
+        on_domain = on_domain.reshape(self.n, q)
         best = np.minimum(1.0, np.maximum(*share) + np.where(on_domain, 0.5, 0.0))
         missed = (share[0] == 0) & (share[1] == 0) & ~on_domain
-        out.reshape(self.n, self.q)[:, asking] = np.where(missed, config.team_miss, 1.0 + config.team_boost * best)
-        return out
+        return np.where(missed, config.team_miss, 1.0 + config.team_boost * best)
+
+    def team_factor(self) -> np.ndarray:
+        """search.team_factor; queries without teams have 1."""
+        out = np.ones((self.n, self.q))
+        if len(self.block.asking):
+            out[:, self.block.asking] = self.team_factors()
+        return out.ravel()
 
     def boosted(self) -> np.ndarray:
-        """The score after all boosts: coverage of title and address, whole query in the title, the domain's boost, team word in the title, team factor, asked word in the domain."""
+        """The score after all boosts: coverage of title and address, whole query in the title, the domain's boost, team word in the title, team factor, asked word in the domain.
+
+        Boosts that few cells have are applied to these alone; a cell that is named twice is boosted once.
+        """
         block, config = self.block, self.block.config
-        score = self.base * (1.0 + config.title_weight * self.coverage("title_tokens") + config.url_weight * self.coverage("url_tokens"))
+        score, url = self.coverage("title_tokens"), self.coverage("url_tokens")
+        score *= config.title_weight
+        score += 1.0
+        url *= config.url_weight
+        score += url
+        score *= self.base
         score[self.containing("normalized_title", block.wholes, block.in_title)] *= 1.5
-        score = (score.reshape(self.n, self.q) * np.array([[DOMAIN_BOOSTS.get(d, 1.0)] for d in self.batch.column("domain").to_pylist()])).ravel()
+        by_row = score.reshape(self.n, self.q)
+        for row, name in enumerate(self.batch.column("domain").to_pylist()):
+            if name in DOMAIN_BOOSTS:
+                by_row[row] *= DOMAIN_BOOSTS[name]
         score[self.containing("normalized_title", block.title_teams, block.teams_in_title)] *= 1.1
-        score *= self.team_factor()
+        if len(block.asking):
+            by_row[:, block.asking] *= self.team_factors()
         score[self.containing("normalized_domain", block.words, block.in_domain)] += 0.2
         return score
 
@@ -270,9 +312,12 @@ class Best:
 
 def _slices(block: Block, batches: Iterable[pa.RecordBatch]) -> Iterator[Slice]:
     size = max(1, CELLS // len(block.ids))
+    together = max(size, ENCODED // size * size)
     for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield Slice(block, batch.slice(start, size))
+        for first in range(0, batch.num_rows, together):
+            encoded = Encoded(block, batch.slice(first, together))
+            for start in range(0, encoded.batch.num_rows, size):
+                yield Slice(encoded, start, size)
 
 
 def _ids(block: Block, kind: T.DataType) -> pa.Array:

@@ -99,6 +99,26 @@ def test_results_do_not_depend_on_blocks_and_slices(spark, parts, monkeypatch):
     assert ask() == expected
 
 
+def test_words_are_encoded_once_for_all_slices(spark, parts, monkeypatch):
+    queries, _, by_document = parts
+    held = []
+    search._by_block(queries, by_document, search.Config(), True, lambda d, b, k: held.append(b.value) or d.limit(0))
+    documents = by_document.documents.toArrow().combine_chunks().to_batches()
+    encode, calls = batch._encoded, []
+    monkeypatch.setattr(batch, "_encoded", lambda *a: calls.append(a) or encode(*a))
+
+    def scores(cells):
+        monkeypatch.setattr(batch, "CELLS", cells)
+        calls.clear()
+        found = [(len(piece.batch), piece.boosted()) for piece in batch._slices(held[0], documents)]
+        return batch.np.concatenate([x for _, x in found]).tolist(), len(found), len(calls)
+
+    whole, narrow = scores(500_000), scores(3 * len(held[0].ids))
+    assert whole[0] == narrow[0] and max(whole[0]) > 0
+    # It grew with the slices, which are more the more queries a block has.
+    assert whole[1:] == (1, 5) and narrow[1] > 10 and narrow[2] == 5
+
+
 def test_no_queries(spark, parts):
     queries, _, by_document = parts
     for none in (queries.limit(0), queries.where("query = ''")):
